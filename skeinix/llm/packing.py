@@ -84,7 +84,7 @@ class _Packer:
             n = len(ids) - done
             inner = ends[(ends > done) & (ends < len(ids))] - done
             marks = np.concatenate([[0], inner, [n]])
-            wide = np.flatnonzero(np.diff(marks) > self.size // 8)
+            wide = np.flatnonzero(np.diff(marks) > self.size // 32)
             if len(wide):
                 hard = np.concatenate([np.arange(marks[i] + 16, marks[i + 1], 16) for i in wide])
                 inner, cost = np.concatenate([inner, hard]), np.concatenate([np.full(len(inner), self.at_sentence), np.full(len(hard), self.at_token)])
