@@ -121,7 +121,8 @@ def bitmap(df: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     """
     from pyspark.sql import functions as F
 
-    words = df.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("b").cast("int").bitwiseAND(63))).alias("v"))
+    at = df.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("b"))
+    words = at.groupBy(F.expr("shiftright(b, 6) as w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int))) as v"))
     out = np.zeros(bits // 64, U64)
     for r in words.toLocalIterator():
         out[r.w] = U64(r.v & (2**64 - 1))

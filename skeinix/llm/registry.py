@@ -9,6 +9,7 @@ _WHERE = {
     "op3_bpe_codec": "bpe_codec",
     "op7_packing": "packing",
     "op9_quality_rules": "quality",
+    "op10_ngram_join": "ngram_join",
 }
 
 
