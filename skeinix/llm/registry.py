@@ -7,6 +7,7 @@ from importlib import import_module
 #: name of the query: its module
 _WHERE = {
     "op3_bpe_codec": "bpe_codec",
+    "op5_line_dedup": "line_dedup",
     "op7_packing": "packing",
     "op9_quality_rules": "quality",
     "op10_ngram_join": "ngram_join",
