@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: name of the query: its module
 _WHERE = {
+    "op2_url_filter": "url_filter",
     "op3_bpe_codec": "bpe_codec",
+    "op4_collision_ann": "ann",
     "op5_line_dedup": "line_dedup",
     "op7_packing": "packing",
     "op9_quality_rules": "quality",
