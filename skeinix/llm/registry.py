@@ -6,11 +6,14 @@ from importlib import import_module
 
 #: name of the query: its module
 _WHERE = {
+    "op1_license_scan": "licenses",
     "op2_url_filter": "url_filter",
     "op3_bpe_codec": "bpe_codec",
     "op4_collision_ann": "ann",
     "op5_line_dedup": "line_dedup",
+    "op6_warc_revisits": "warc",
     "op7_packing": "packing",
+    "op8_edit_counts": "edit_counts",
     "op9_quality_rules": "quality",
     "op10_ngram_join": "ngram_join",
 }
