@@ -254,3 +254,17 @@ def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", num: int
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of df but for one (the least id) of each group of linked documents; columns as they were.
+
+    Rows without words or without an id stay; of rows that are alike in id and text one stays.
+    """
+    from pyspark.sql import Window
+
+    r = ngram_join(df, key, text, num, den)
+    gone = settled(r.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    left = df.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    n = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1)))
+    return left.withColumn("__n", n).where((F.col("__n") == 1) | F.col(key).isNull()).select(*df.columns)
