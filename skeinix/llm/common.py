@@ -9,11 +9,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 U64 = np.uint64
 #: Rows of text that a worker turns into Python objects at a time, and their bytes.
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+#: Size of a bitmap filter that goes to every task: a megabyte, whatever the data.
+BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nothing refers to any more deleted now, not when the driver's memory runs low."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut to a bounded number of rows and bytes (one row at least)."""
     for batch in batches:
@@ -67,34 +77,6 @@ def odd(n: int, seed: int = 0) -> np.ndarray:
     return mix(np.arange(seed * 1000 + 1, seed * 1000 + 1 + n, dtype=U64)) | U64(1)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, the same in every process; bounded, which changes the speed alone."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            keep = list(self.items())[: self.most // 4]
-            self.clear()
-            self.update(keep)
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
-_WORDS = WordHash()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return _WORDS.of(words)
-
-
 def windows(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hashes of the n-windows of a row of hashes; empty where it is shorter."""
     k = len(h) - n + 1
@@ -107,21 +89,77 @@ def windows(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def binary_rows(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Rows of bytes: flat cut at ends (numbers of items)."""
-    width = flat.dtype.itemsize
-    offsets = np.concatenate([[0], ends * width]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+_T = mix(np.arange(256, dtype=U64) + U64(77))
+_T_LOWER = _T.copy()
+_T_LOWER[65:91] = _T[97:123]
+_BREAK = np.zeros(256, bool)
+_BREAK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        n = max(n, 1 << 21)
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(n, b, U64)
+            x[0] = 1
+            _POWERS[k] = np.cumprod(x)
+    return _POWERS
 
 
-def bitmap(df: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
-    """Which hash classes of a 64-bit column occur: a filter of fixed size (bits / 8 bytes), however many rows.
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a text column has about ``most`` bytes (one row at least)."""
+    for b in batches:
+        c = b.column(column)
+        ends = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1 + c.offset)[c.offset :].astype(np.int64) if len(c) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(c):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
+def word_grid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a column of texts, A-Z as a-z, one row after the other, and where each row's begin (and the last end).
+
+    Words are what lies between bytes 9-13 and 32; the column's own bytes are used, no
+    Python strings are made.  Null is as empty.
+    """
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32, n + 1 + texts.offset)[texts.offset :].astype(np.int64)
+    raw = texts.buffers()[2]
+    if raw is None or ends[-1] == ends[0]:
+        return np.empty(0, U64), np.zeros(n + 1, np.int64)
+    data = np.frombuffer(raw, np.uint8, ends[-1])[ends[0] :]
+    ends = ends - ends[0]
+    inside = ~_BREAK[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    rows = ends[:-1][ends[:-1] < len(data)]
+    first[rows] |= inside[rows]
+    starts = np.flatnonzero(first)
+    stop = ~inside
+    stop[rows] = True
+    breaks = np.append(np.flatnonzero(stop | first), len(data))
+    to = breaks[np.searchsorted(breaks, starts, side="right")]
+    power, back = _powers(len(data) + 1)
+    sums = np.empty(len(data) + 1, U64)
+    sums[0] = 0
+    np.cumsum(_T_LOWER[data] * power[: len(data)], out=sums[1:])
+    h = mix((sums[to] - sums[starts]) * back[starts] + (to - starts).astype(U64))
+    return h, np.searchsorted(starts, ends)
+
+
+def bitmap(df: DataFrame, place: Column, bits: int = BITS) -> np.ndarray:
+    """Which places (numbers below bits) occur: a filter of fixed size (bits / 8 bytes), however many rows.
 
     It is built by partial OR on the executors; false positives are left to a later exact join.
     """
     from pyspark.sql import functions as F
 
-    at = df.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("b"))
+    at = df.select(place.alias("b"))
     words = at.groupBy(F.expr("shiftright(b, 6) as w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int))) as v"))
     out = np.zeros(bits // 64, U64)
     for r in words.toLocalIterator():

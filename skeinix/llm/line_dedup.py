@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap, mix, odd, settled, slices, table
+from .common import BITS, U64, bitmap, mix, odd, release, settled, slices, table
 from .components import components
 from .verify import cells, links
 
@@ -36,12 +36,21 @@ _B = odd(BANDS + ROWS, 13)
 _BLANK = " \t\r\x0b\x0c"
 
 
-def line_id(line: str) -> int:
-    """The same number as Spark's xxhash64 of the line."""
+def line_ids(lines: list[str], seed: int = 42) -> np.ndarray:
+    """64-bit hashes."""
     import xxhash
 
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "replace"), seed=42)
-    return h - (1 << 64) if h >> 63 else h
+    return np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), seed=seed) for x in lines], U64).view(np.int64)
+
+
+def features(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each line, one after the other, and their bounds."""
+    h, starts = shingled(lines.to_pylist())
+    for part in np.split(h, starts[1:]):
+        part.sort()
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    new[starts] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[np.append(starts, len(h))]
 
 
 def shingled(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +89,21 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys.T
 
 
-def lines_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, h1, h2) of every line with a visible character."""
-    each = df.select(F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
-    return each.where(F.length(F.translate("line", _BLANK, "")) > 0).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, line_no, h1, h2) of every line with a visible character."""
+
+    def run(batches):
+        for b in slices(batches):
+            rows = [(k, n, x) for k, t in enumerate(b.column(1).to_pylist()) if t for n, x in enumerate(t.split("\n")) if x.strip(_BLANK)]
+            lines = [r[2] for r in rows]
+            cols = [b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array(line_ids(lines)), pa.array(line_ids(lines, 7))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line_no", "h1", "h2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no long, h1 long, h2 long")
 
 
 def _visible(texts) -> list[str]:
-    return list({x for t in texts if t for x in t.split("\n") if x.strip(_BLANK) })
+    return list({x for t in texts if t for x in t.split("\n") if x.strip(_BLANK)})
 
 
 def buckets(docs: DataFrame) -> DataFrame:
@@ -109,7 +125,7 @@ def buckets(docs: DataFrame) -> DataFrame:
             lines = _visible(b.column(0).to_pylist())
             if lines:
                 keys.append(band_keys(lines).ravel())
-                ids.append(np.repeat(np.array([line_id(x) for x in lines], np.int64), BANDS))
+                ids.append(np.repeat(line_ids(lines), BANDS))
                 held += len(keys[-1])
             if held > 500_000:
                 yield from flush()
@@ -159,29 +175,23 @@ def buckets(docs: DataFrame) -> DataFrame:
     return signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "group long, id long").distinct()
 
 
-def items_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """Distinct (id, items) of the lines whose id may be wanted: the sorted distinct shingle hashes, as bytes."""
+def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(id, text), once each, of the lines whose id may be wanted (a bitmap, of a fixed size)."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def run(batches):
         mask, done = np.frombuffer(bits.value, np.uint64), set()
         for b in slices(batches):
-            at = b.column(2).to_numpy()
-            lines = [x for x, hit in zip(b.column(1).to_pylist(), mask[at >> 6] >> (at & 63).astype(U64) & U64(1) > 0) if hit]
-            ids = b.column(0).to_numpy()[mask[at >> 6] >> (at & 63).astype(U64) & U64(1) > 0].tolist()
-            fresh = [k for k, i in enumerate(ids) if i not in done]
-            if not fresh:
-                continue
+            lines = _visible(b.column(0).to_pylist())
+            ids = line_ids(lines)
+            at = ids % BITS
+            hit = np.flatnonzero(mask[at >> 6] >> (at & 63).astype(U64) & U64(1))
+            fresh = [k for k, i in zip(hit.tolist(), ids[hit].tolist()) if i not in done]
             if len(done) < 1_000_000:
-                done.update(ids)
-            h, starts = shingled([lines[k] for k in fresh])
-            sets = [np.unique(s) for s in np.split(h, starts[1:])]
-            out = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in fresh], pa.int64()), out], names=["id", "items"])
+                done.update(ids[fresh].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[fresh], pa.int64()), pa.array([lines[k] for k in fresh], pa.string())], names=["id", "text"])
 
-    line = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.translate("line", _BLANK, "")) > 0)
-    ready = line.select(F.xxhash64("line").alias("id"), "line").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(len(wanted) * 64)))
-    return ready.mapInArrow(run, "id long, items binary").groupBy("id").agg(F.first("items").alias("items"))
+    return docs.select("text").mapInArrow(run, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
 def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,8 +199,9 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     lines = settled(lines_of(docs))
     members = settled(buckets(docs))
-    placed = cells(members).join(items_of(docs, bitmap(members, "id")), "id").withColumn("weight", F.lit(1).cast("long"))
-    found = settled(links(placed, NUM, DEN))
+    release(df.sparkSession)
+    placed = cells(members).join(texts_of(docs, bitmap(members, F.pmod("id", F.lit(BITS)))), "id").withColumn("weight", F.lit(1).cast("long"))
+    found = settled(links(placed, features, NUM, DEN))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     named = classes.join(joined, F.col("h1") == F.col("node"), "left").select("h1", "h2", "first", "n", F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("d")).alias("c"))

@@ -8,14 +8,16 @@ grows with the members alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64
+from .common import byte_slices
 
-BLOCK = 256
+BLOCK = 512
 
 
 def cells(members: DataFrame, group: str = "group", member: str = "id") -> DataFrame:
@@ -28,31 +30,6 @@ def cells(members: DataFrame, group: str = "group", member: str = "id") -> DataF
     return m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*members.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
-def runs(batches, keys: int):
-    """Tables of equal values in the first columns, of batches that are sorted by them."""
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = np.stack([b.column(c).to_numpy() for c in range(keys)])
-        starts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-        if rest and all(rest[-1].column(c)[-1].as_py() == b.column(c)[0].as_py() for c in range(keys)):
-            starts = starts.tolist()
-        else:
-            if rest:
-                yield pa.Table.from_batches(rest)
-            rest, starts = [], starts.tolist()
-        at = 0
-        for s in [*starts, b.num_rows]:
-            rest.append(b.slice(at, s - at))
-            at = s
-            if s != b.num_rows:
-                yield pa.Table.from_batches(rest)
-                rest = []
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Whether den * |A & B| >= num * |A | B| for each two of the sets (sorted, distinct); an empty set links with none."""
     m = len(sets)
@@ -83,46 +60,61 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return out
 
 
-def links(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """placed: (group, i, j, block, id, weight, items), items being sorted distinct 64-bit numbers as bytes.
+def links(placed: DataFrame, features: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], num: int, den: int) -> DataFrame:
+    """placed: (group, i, j, block, id, weight, text); features: sorted distinct 64-bit features of texts, one after the other, and their bounds.
 
     Gives (id, n, root) for each cell in which a member has a link: n, the summed
     weights of the members linked there; root, the least member joined with it there.
+    Texts travel, not features, which would take more room.
     """
 
+    def solve(key, ids, blocks, weights, sets):
+        member, first = np.unique(np.concatenate(ids), return_index=True)
+        if len(member) < 2:
+            return None
+        block, weight = np.concatenate(blocks)[first], np.concatenate(weights)[first]
+        link = linked([sets[k] for k in first], num, den)
+        if key[1] != key[2]:
+            link &= block[:, None] != block[None, :]
+        n = link @ weight
+        if not n.any():
+            return None
+        label = np.arange(len(member))
+        while True:  # min-label steps; member is sorted, so the least index is the least id
+            new = np.minimum(label, np.where(link, label[None, :], len(label)).min(axis=1))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        some = n > 0
+        return member[some], n[some], member[label[some]]
+
     def run(batches):
-        ids, ns, roots = [], [], []
-        for t in runs(batches, 3):
-            if t.num_rows < 2:
-                continue
-            member, first = np.unique(t["id"].to_numpy(), return_index=True)
-            if len(member) < 2:
-                continue
-            items, block, weight = t["items"].to_pylist(), t["block"].to_numpy()[first], t["weight"].to_numpy()[first]
-            link = linked([np.frombuffer(items[k], U64) for k in first], num, den)
-            if t["i"][0].as_py() != t["j"][0].as_py():
-                link &= block[:, None] != block[None, :]
-            n = link @ weight
-            if not n.any():
-                continue
-            label = np.arange(len(member))
-            while True:  # min-label steps; member is sorted, so the least index is the least id
-                new = np.minimum(label, np.where(link, label[None, :], len(label)).min(axis=1))
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            some = n > 0
-            ids.append(member[some])
-            ns.append(n[some])
-            roots.append(member[label[some]])
-            if len(ids) > 2000:
-                yield _batch(ids, ns, roots)
-                ids, ns, roots = [], [], []
-        if ids:
-            yield _batch(ids, ns, roots)
-
-    ready = placed.select("group", "i", "j", "block", "id", "weight", "items").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+        found, cell = [], None
+        for b in byte_slices(batches, 6):
+            flat, bounds = features(b.column(6))
+            k = np.stack([b.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            block, who, weight = (b.column(c).to_numpy() for c in (3, 4, 5))
+            for at, to in zip(cuts, cuts[1:]):
+                key = tuple(k[:, at].tolist())
+                if cell is None or cell[0] != key:
+                    if cell is not None and (out := solve(*cell)):
+                        found.append(out)
+                    cell = (key, [], [], [], [])
+                cell[1].append(who[at:to])
+                cell[2].append(block[at:to])
+                cell[3].append(weight[at:to])
+                cell[4].extend(flat[bounds[x] : bounds[x + 1]] for x in range(at, to))
+            if len(found) > 2000:
+                yield _batch(*zip(*found))
+                found = []
+        if cell is not None and (out := solve(*cell)):
+            found.append(out)
+        if found:
+            yield _batch(*zip(*found))
+
+    ready = placed.select("group", "i", "j", "block", "id", F.col("weight").cast("long"), "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     return ready.mapInArrow(run, "id long, n long, root long")
 
 
