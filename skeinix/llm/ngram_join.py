@@ -2,7 +2,8 @@
 
 A document's set holds the hashes of its distinct 5-word shingles.  Sizes fall
 into bands whose ends are 5/4 apart; two sets at Jaccard 4/5 or more lie in one
-band or in neighbouring ones, and each set signs for its own band and the next.
+band or in neighbouring ones, and each set signs for its own band and, if it can
+link with a set there, for the next.
 For a band, the feature domain (64-bit hashes) is cut into n partitions of equal
 width.  Two sets that link differ in at most k features, so all partitions but k
 hold the same features in both; a signature names a partition and what a set has
@@ -29,10 +30,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, binary_rows, bitmap, mix, odd, settled, slices, table, windows, word_hashes
+from .common import BITS, U64, bitmap, byte_slices, mix, odd, release, settled, table, windows, word_grid
 from .components import components
 from .verify import cells, links
 
@@ -41,22 +42,36 @@ LEVELS = 8
 SQL = {}
 
 
+def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles of each text (of the whole sequence, if it is shorter), one after the other, and their bounds."""
+    h, at = word_grid(texts)
+    count = np.diff(at)
+    size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    w = windows(h, n)
+    flat = np.empty(bounds[-1], U64)
+    for k in np.flatnonzero(size):
+        a, m = at[k], count[k]
+        part = flat[bounds[k] : bounds[k + 1]]
+        part[:] = w[a : a + m - n + 1] if m >= n else windows(h[a : a + m], m, seed=m)
+        part.sort()
+    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, bool)
+    new[bounds[:-1][size > 0]] = True
+    return flat[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of the whole sequence, if it is shorter."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, U64)
-    h = word_hashes(words)
-    w = windows(h, n) if len(words) >= n else windows(h, len(words), seed=len(words))
-    w.sort()
-    return w[np.concatenate([[True], w[1:] != w[:-1]])]
+    return shingle_sets(pa.array([text], pa.string()), n)[0]
 
 
-def fingerprint(items: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        a = mix(items).sum(dtype=U64) + U64(len(items)) * odd(1, 7)[0]
-        b = mix(items ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)
-    return int(mix(np.array([a]))[0].astype(np.int64)), int(mix(np.array([b]))[0].astype(np.int64))
+def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set."""
+    size = np.diff(bounds)
+    out = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(flat ^ U64(salt)), dtype=U64)])
+        out.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(U64) * odd(1, 7)[0]).view(np.int64))
+    return out[0], out[1]
 
 
 def distance(a: int, b: int, num: int, den: int) -> int:
@@ -86,7 +101,7 @@ def _partitions(t: int, low: int, high: int, before: int, num: int, den: int) ->
     need = 1
     for x in {low, (low + high) // 2, high}:
         k = _most(x, before, high, num, den)
-        n = max(need, k + 1)
+        n = max(need, k + 1 + k // 4)
         while True:
             lam = x / n
             filled = n * (1 - (1 - 1 / n) ** x)
@@ -115,20 +130,26 @@ def scheme(x: int, num: int = NUM, den: int = DEN) -> tuple[tuple[int, int, int]
 _C = odd(8, 3)
 
 
-def signatures(items: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The signatures of a set."""
+def signatures(items: np.ndarray, hot: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """The signatures of a set; hot: for each feature, whether its slot is a frequent one."""
     out = []
     if not len(items):
         return np.empty(0, U64)
     for t, n, k in scheme(len(items), num, den):
-        own = items
+        own, often = items, hot
         for level in range(LEVELS):
             if level:
-                own = np.sort(mix(items ^ (_C[level % 8] + U64(level))))
+                other = mix(items ^ (_C[level % 8] + U64(level)))
+                order = np.argsort(other)
+                own, often = other[order], None if hot is None else hot[order]
             part = ((own >> U64(11)).astype(np.float64) * (n / 2.0**53)).astype(np.int64)
             starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
             sums = np.add.reduceat(mix(own ^ _C[0]), starts)
-            out.append(mix(sums + part[starts].astype(U64) * _C[1] + mix(np.array([t * LEVELS + level], U64))[0]))
+            sig = mix(sums + part[starts].astype(U64) * _C[1] + mix(np.array([t * LEVELS + level], U64))[0])
+            if len(starts) > k + 1:
+                last = U64(0) if often is None else np.minimum.reduceat(often, starts).astype(U64) << U64(63)
+                sig = sig[np.argpartition(sig >> U64(1) | last, k)[: k + 1]]
+            out.append(sig)
             if len(starts) > k:
                 break
         else:
@@ -136,16 +157,42 @@ def signatures(items: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). Per row: doc_id, n_shingles, and the set's fingerprint (f1, f2)."""
+SLOTS = 23  # bits of the table of feature counts that a task keeps
+
+
+def slots(items: np.ndarray) -> np.ndarray:
+    return (mix(items ^ _C[5]) >> U64(64 - SLOTS)).astype(np.int64)
 
-    def run(batches):
-        for b in slices(batches):
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            f = [fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x for x, _ in f], [y for _, y in f]))], names=["doc_id", "n_shingles", "f1", "f2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """docs: (doc_id, text). Per row: doc_id, n_shingles, and the set's fingerprint (f1, f2); and the frequent slots (a bitmap of 2 ** SLOTS bits).
+
+    A slot is frequent where some task counts far more documents in it than evenly
+    spread features would put there.
+    """
+
+    def run(batches):
+        count, total, none = np.zeros(1 << SLOTS, np.int32), 0, pa.int64()
+        for b in byte_slices(batches, 1):
+            flat, bounds = shingle_sets(b.column(1))
+            f1, f2 = fingerprints(flat, bounds)
+            n = np.diff(bounds)
+            _, once = np.unique(f1, return_index=True)
+            first = np.zeros(len(n), bool)
+            first[once] = True
+            own = flat[np.repeat(first, n)]
+            np.add.at(count, slots(own), 1)
+            total += len(own)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, none), pa.array(f1), pa.array(f2), pa.nulls(len(n), none)], names=["doc_id", "n_shingles", "f1", "f2", "slot"])
+        mean = total / len(count)
+        often = np.flatnonzero(count > 4 + mean + 6 * mean**0.5)
+        for at in range(0, len(often), 50_000):
+            part = pa.array(often[at : at + 50_000], none)
+            gone = pa.nulls(len(part), none)
+            yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, part], names=["doc_id", "n_shingles", "f1", "f2", "slot"])
+
+    both = settled(docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, slot long"))
+    return both.where("slot is null").drop("slot"), bitmap(both.where("slot is not null"), F.col("slot"), 1 << SLOTS)
 
 
 def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,32 +203,39 @@ def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return first, who[edge], head[edge]
 
 
-def candidate_edges(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Star edges (a, b) between classes (f1) that share a signature."""
+def candidate_edges(docs: DataFrame, frequent: np.ndarray, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Star edges (a, b) between classes (f1) that share a signature; frequent: the bitmap that ``marks`` gives."""
+    bits = docs.sparkSession.sparkContext.broadcast(frequent.tobytes())
 
     def sign(batches):
         sigs, ids, held = [], [], 0
 
         def flush():
             sig, who = np.concatenate(sigs), np.concatenate(ids)
-            order = np.lexsort((who, sig)) if len(sig) < 4096 else np.argsort(sig, kind="stable")
-            sig, who = sig[order], who[order]
-            first, a, b = _stars(sig, who)
+            order = np.argsort(sig, kind="stable")
+            first, a, b = _stars(sig[order], who[order])
             pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            n = int(first.sum())
-            key = np.concatenate([sig[first].view(np.int64), pairs[:, 0]])
-            x = np.concatenate([who[first], pairs[:, 0]])
+            lead = np.zeros(len(sig), bool)
+            lead[order[first]] = True  # sent in the order of the documents: repeated ids compress well
+            n = int(lead.sum())
+            key = np.concatenate([sig[lead].view(np.int64), pairs[:, 0]])
+            x = np.concatenate([who[lead], pairs[:, 0]])
             y = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pairs[:, 1], pa.int64())])
             for at in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000], pa.int64()), pa.array(x[at : at + 100_000], pa.int64()), y[at : at + 100_000]], names=["key", "a", "b"])
 
-        for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                items = shingles(t)
-                s = signatures(items, num, den)
+        mask = np.frombuffer(bits.value, np.uint64)
+        for batch in byte_slices(batches, 0):
+            flat, bounds = shingle_sets(batch.column(0))
+            at = slots(flat)
+            hot = (mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(np.uint8)
+            f1, f2 = fingerprints(flat, bounds)
+            _, once = np.unique(np.stack([f1, f2], axis=1), axis=0, return_index=True)
+            for k in once.tolist():
+                s = signatures(flat[bounds[k] : bounds[k + 1]], hot[bounds[k] : bounds[k + 1]], num, den)
                 if len(s):
                     sigs.append(s)
-                    ids.append(np.full(len(s), fingerprint(items)[0], np.int64))
+                    ids.append(np.full(len(s), f1[k], np.int64))
                     held += len(s)
             if held > 1_000_000:
                 yield from flush()
@@ -212,37 +266,41 @@ def candidate_edges(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     return signed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def items_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, f1, f2, items) of the rows whose doc_id may be wanted (a bitmap, of a fixed size)."""
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITS))
+
+
+def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, f1, f2, text) of the rows whose doc_id may be wanted (a bitmap, of a fixed size)."""
     sc = docs.sparkSession.sparkContext
     bits = sc.broadcast(wanted.tobytes())
 
     def run(batches):
         mask = np.frombuffer(bits.value, np.uint64)
-        for b in slices(batches):
+        for b in byte_slices(batches, 1):
             at = b.column(2).to_numpy()
-            b = b.filter(pa.array((mask[at >> 6] >> (at & 63).astype(U64)) & U64(1) > 0))
-            if not b.num_rows:
-                continue
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            f = [fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in f], pa.int64()), pa.array([y for _, y in f], pa.int64()), binary_rows(np.concatenate(sets), np.cumsum([len(s) for s in sets]))], names=["doc_id", "f1", "f2", "items"])
+            b = b.filter(pa.array(mask[at >> 6] >> (at & 63).astype(U64) & U64(1) > 0))
+            if b.num_rows:
+                flat, bounds = shingle_sets(b.column(1))
+                f1, f2 = fingerprints(flat, bounds)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f1), pa.array(f2), b.column(1)], names=["doc_id", "f1", "f2", "text"])
 
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(len(wanted) * 64))
-    return docs.select("doc_id", "text", at.alias("at")).mapInArrow(run, "doc_id long, f1 long, f2 long, items binary")
+    return docs.select("doc_id", "text", _place(F.col("doc_id")).alias("at")).mapInArrow(run, "doc_id long, f1 long, f2 long, text string")
 
 
 def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of df: doc_id, n_shingles, n_similar, component_id."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    m = settled(marks(docs))
+    m, frequent = marks(docs)
     classes = m.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    groups = settled(components(candidate_edges(docs, num, den)))
+    groups = settled(components(candidate_edges(docs, frequent, num, den)))
+    release(df.sparkSession)
     members = settled(classes.join(groups, F.col("f1") == F.col("node")).select(F.col("component").alias("group"), F.col("f1").alias("id"), "f2", "rep", "weight"))
-    items = items_of(docs, bitmap(members, "rep")).withColumnRenamed("f1", "id")
+    texts = texts_of(docs, bitmap(members, _place(F.col("rep")))).withColumnRenamed("f1", "id")
     placed = cells(members.withColumnRenamed("weight", "w"))
-    placed = placed.join(items, (placed["id"] == items["id"]) & (placed["f2"] == items["f2"]) & placed["rep"].eqNullSafe(items["doc_id"])).select("group", "i", "j", "block", placed["id"], F.col("w").alias("weight"), "items")
-    found = settled(links(placed, num, den))
+    placed = placed.join(texts, (placed["id"] == texts["id"]) & (placed["f2"] == texts["f2"]) & placed["rep"].eqNullSafe(texts["doc_id"])).select("group", "i", "j", "block", placed["id"], F.col("w").alias("weight"), "text")
+    found = settled(links(placed, shingle_sets, num, den))
+    release(df.sparkSession)
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = classes.join(n.withColumnRenamed("id", "f1"), "f1", "left").join(joined.withColumnRenamed("node", "f1"), "f1", "left")
