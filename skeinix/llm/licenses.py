@@ -73,7 +73,7 @@ class Scanner:
             for t in texts:
                 h = _hashes(t.encode().split())
                 grams += [h, _bigrams(h)]
-                self.templates.setdefault(family, []).append(np.unique(_bigrams(h)))
+                self.templates.setdefault(family, []).append(frozenset(_bigrams(h).tolist()))
         self.grams = np.unique(np.concatenate(grams))
         self.pairs = np.unique(np.concatenate(grams[1::2]))
         self.weights = np.zeros((len(self.grams) + 2, len(FAMILIES)))
@@ -99,12 +99,13 @@ class Scanner:
 
     def confirmed(self, h: np.ndarray, family: str) -> float:
         """The largest share of a template's word pairs that the paragraph holds."""
-        have = np.unique(_bigrams(h))
-        return max((np.isin(t, have).mean() for t in self.templates[family]), default=0.0)
+        have = set(_bigrams(h).tolist())
+        return max((len(t & have) / len(t) for t in self.templates[family]), default=0.0)
 
     def train(self, others: list[str], seed: int = 1) -> Scanner:
         rng = np.random.default_rng(seed)
         filler = [w for p in others for w in p.split()[:40]] or ["lorem", "ipsum", "dolor", "amet"]
+        filler = np.array(filler, dtype=object)
         rows, y = [], []
         add = lambda words, label: (rows.append(self.vector(_hashes(" ".join(words).encode("utf-8", "replace").split()))), y.append(label))
         for label, family in enumerate(TEMPLATES):
@@ -120,14 +121,16 @@ class Scanner:
                     words = pad + words if rng.random() < 0.5 else words + pad
                 add(words, label)
         unknown = len(FAMILIES) - 1
-        every = [w for t in TEMPLATES.values() for x in t for w in x.split()]
+        every = np.array([w for t in TEMPLATES.values() for x in t for w in x.split()], dtype=object)
+        mixed = np.concatenate([filler, every[:20]])
         for p in others:
             h = _hashes(p.encode("utf-8", "replace").split())
-            if len(h) and all(self.confirmed(h, f) < CONFIRM for f in TEMPLATES):
+            known = np.isin(_bigrams(h), self.pairs).any() if len(h) > 1 else False
+            if len(h) and not (known and any(self.confirmed(h, f) >= CONFIRM for f in TEMPLATES)):
                 rows.append(self.vector(h))
                 y.append(unknown)
         for _ in range(600):
-            add(list(rng.choice(every if rng.random() < 0.3 else filler + every[:20], rng.integers(3, 40))), unknown)
+            add(list(rng.choice(every if rng.random() < 0.3 else mixed, rng.integers(3, 40))), unknown)
         x, y = np.array(rows), np.array(y)
         held = rng.random(len(y)) < 0.3
         self._fit(x[~held], y[~held])
