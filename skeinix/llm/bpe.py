@@ -24,6 +24,8 @@ from itertools import islice
 import numpy as np
 import regex
 
+from .common import _CLEAR, claim
+
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LATIN_L = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 _LATIN_N = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
@@ -204,7 +206,7 @@ class TrieBPE:
         """Encode the distinct chunks that are not known yet."""
         if len(self.chunks) + len(chunks) > self.memo_words:
             self._shrink(self.chunks)
-        if len(self.words) + len(chunks) > self.memo_words:
+        if len(self.words) + len(chunks) > self.memo_words // 2:
             self._shrink(self.words)
         split, new, words = [], set(), self.words
         for c in chunks:
@@ -274,10 +276,18 @@ class TrieBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> TrieBPE:
+    return TrieBPE(path)
+
+
+_CLEAR.append(_loaded.cache_clear)
+
+
 def load(path: str) -> TrieBPE:
     """One encoder a worker process, so that its table of words outlives a task."""
-    return TrieBPE(path)
+    claim("bpe")
+    return _loaded(path)
 
 
 def tokenizer_path(name: str) -> str:

@@ -46,6 +46,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_HOLDER: list[str] = []
+_CLEAR: list[Callable[[], None]] = []
+
+
+def claim(name: str) -> None:
+    """Called by a worker process before it runs an operator: tables kept for another one are given back.
+
+    Workers outlive stages, so that without this their memory would add up over a pipeline.
+    """
+    if _HOLDER != [name]:
+        _HOLDER[:] = [name]
+        for clear in _CLEAR:
+            clear()
+        try:
+            import ctypes
+
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut to a bounded number of rows and bytes (one row at least)."""
     for batch in batches:

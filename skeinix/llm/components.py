@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import claim, settled
 
 
 class UnionFind:
@@ -51,6 +51,7 @@ def contract(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([uf.find(x) for x in nodes], pa.int64())], names=["a", "b"])
 
     def run(batches):
+        claim("components")
         uf = UnionFind()
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()

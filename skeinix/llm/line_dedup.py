@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, U64, bitmap, mix, odd, release, settled, slices, table
+from .common import BITS, U64, bitmap, claim, mix, odd, release, settled, slices, table
 from .components import components
 from .verify import cells, links
 
@@ -93,6 +93,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, text). (doc_id, line_no, h1, h2) of every line with a visible character."""
 
     def run(batches):
+        claim("lines")
         for b in slices(batches):
             rows = [(k, n, x) for k, t in enumerate(b.column(1).to_pylist()) if t for n, x in enumerate(t.split("\n")) if x.strip(_BLANK)]
             lines = [r[2] for r in rows]
@@ -110,6 +111,7 @@ def buckets(docs: DataFrame) -> DataFrame:
     """docs: (text). Distinct (group, id): the members of band buckets that hold two lines or more."""
 
     def sign(batches):
+        claim("lines")
         keys, ids, held = [], [], 0
 
         def flush():
@@ -134,6 +136,7 @@ def buckets(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     def meet(batches, most=200_000):
+        claim("lines")
         held_k, held_i, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
 
         def batch(group, ids):
@@ -180,6 +183,7 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def run(batches):
+        claim("lines")
         mask, done = np.frombuffer(bits.value, np.uint64), set()
         for b in slices(batches):
             lines = _visible(b.column(0).to_pylist())
@@ -202,6 +206,7 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     release(df.sparkSession)
     placed = cells(members).join(texts_of(docs, bitmap(members, F.pmod("id", F.lit(BITS)))), "id").withColumn("weight", F.lit(1).cast("long"))
     found = settled(links(placed, features, NUM, DEN))
+    release(df.sparkSession)
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     named = classes.join(joined, F.col("h1") == F.col("node"), "left").select("h1", "h2", "first", "n", F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("d")).alias("c"))

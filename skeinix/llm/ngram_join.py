@@ -33,13 +33,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, U64, bitmap, byte_slices, mix, odd, release, settled, table, windows, word_grid
+from .common import BITS, U64, bitmap, byte_slices, claim, mix, odd, release, settled, table, windows, word_grid
 from .components import components
 from .verify import cells, links
 
 SHINGLE, NUM, DEN = 5, 80, 100
 LEVELS = 8
-SQL = {}
+SQL = {
+    "op10_ngram_join": """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+e as (select x, y from c join n p on x = p.doc_id join n q on y = q.doc_id where 100 * k >= 80 * (p.n + q.n - k)),
+reach as (select x, y from e union select reach.x, e.y from reach join e on reach.y = e.x),
+r as (select x, min(y) as low from reach group by x), d as (select x, count(*) as m from e group by x)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(m, 0) as n_similar, least(doc_id, coalesce(low, doc_id)) as component_id
+from documents left join n using (doc_id) left join d on d.x = doc_id left join r on r.x = doc_id"""
+}
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +183,7 @@ def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """
 
     def run(batches):
+        claim("shingles")
         count, total, none = np.zeros(1 << SLOTS, np.int32), 0, pa.int64()
         for b in byte_slices(batches, 1):
             flat, bounds = shingle_sets(b.column(1))
@@ -208,6 +220,7 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, num: int = NUM, den:
     bits = docs.sparkSession.sparkContext.broadcast(frequent.tobytes())
 
     def sign(batches):
+        claim("shingles")
         sigs, ids, held = [], [], 0
 
         def flush():
@@ -244,6 +257,7 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, num: int = NUM, den:
             yield from flush()
 
     def meet(batches):
+        claim("shingles")
         last_sig, last_head = None, None
         for batch in batches:
             known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
@@ -276,6 +290,7 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     bits = sc.broadcast(wanted.tobytes())
 
     def run(batches):
+        claim("shingles")
         mask = np.frombuffer(bits.value, np.uint64)
         for b in byte_slices(batches, 1):
             at = b.column(2).to_numpy()

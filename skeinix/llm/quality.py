@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, slices, table, windows
+from .common import claim, settled, slices, table, windows
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 #: Scores: the share of symbols, of repeated lines, of words in repeated windows, of capitals; and characters a word.
@@ -75,6 +75,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: st
     """Per row: key, stratum, COUNTS, base_failed and the index of each score in its grid (how many cutoffs it exceeds)."""
 
     def run(batches):
+        claim("quality")
         for b in slices(batches):
             yield _counted(b)
 
@@ -116,17 +117,17 @@ def fit(feats: DataFrame, labels: DataFrame, risk: float = 0.01, miss: float = 0
     clean = feats.where(~F.col("base_failed")).join(marked, "doc_id")
     stacked = ", ".join(f"'{r}', b_{r}" for r in RULES)
     seen = clean.select("stratum", F.expr(f"stack({len(RULES)}, {stacked}) as (rule, bin)")).groupBy("stratum", "rule", "bin").agg(F.count("*").alias("n"))
-    n_tests = feats.select("stratum").distinct().agg((F.count("*") * sum(len(GRID[r]) for r in RULES)).alias("tests"))
+    tests = feats.select("stratum").distinct().count() * sum(len(GRID[r]) for r in RULES)
     part = risk / len(RULES)
 
     def choose(t: pa.Table) -> pa.Table:
-        rule, stratum, level = t["rule"][0].as_py(), t["stratum"][0].as_py(), miss / max(1, t["tests"][0].as_py())
+        rule, stratum, level = t["rule"][0].as_py(), t["stratum"][0].as_py(), miss / max(1, tests)
         bins, n = t["bin"].to_numpy(), t["n"].to_numpy()
         cut = next((c for c in range(len(GRID[rule])) if shown(int(n[bins > c].sum()), int(n.sum()), part, level)), None)  # lowest first
         rows = [] if cut is None else [{"stratum": stratum, "rule": rule, "cut": cut}]
         return pa.Table.from_pylist(rows, schema=pa.schema([("stratum", pa.string()), ("rule", pa.string()), ("cut", pa.int32())]))
 
-    return seen.crossJoin(F.broadcast(n_tests)).groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule string, cut int")
+    return seen.groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule string, cut int")
 
 
 def cutoffs(chosen: DataFrame, most_strata: int = 100_000) -> dict[str, list[int]]:
@@ -156,6 +157,7 @@ def keep_good(df: DataFrame, cuts: dict[str, list[int]], text: str = "text", str
     at, by = df.columns.index(text), df.columns.index(stratum)
 
     def run(batches):
+        claim("quality")
         for b in slices(batches):
             s = pa.array(["" if x is None else str(x) for x in b.column(by).to_pylist()], pa.string())
             f = _counted(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), s, b.column(at)], names=["a", "b", "c"])).to_pandas()
