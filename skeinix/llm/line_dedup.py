@@ -69,8 +69,12 @@ def shingled(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), starts
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys."""
+def band_keys(lines: list[str], most: int = 1 << 20) -> np.ndarray:
+    """(lines, BANDS) keys; worked out for about ``most`` characters at a time, which bounds the memory."""
+    ends = np.cumsum([len(x) for x in lines])
+    cut = np.unique(np.append(np.searchsorted(ends, np.arange(most, ends[-1], most)), len(lines)))
+    if len(cut) > 1:
+        return np.concatenate([band_keys(lines[i:j], 1 << 62) for i, j in zip([0, *cut], cut) if i < j])
     h, starts = shingled(lines)
     x = (h >> U64(32)).astype(np.uint32)
     low = np.empty((BANDS * ROWS, len(lines)), np.uint32)
