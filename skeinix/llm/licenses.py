@@ -6,8 +6,11 @@ It is trained here, on variants of the templates, and for the unknown class on a
 sample of at most ``SAMPLE`` paragraphs of the corpus and on scrambled templates.
 On a held-out part the logits are scaled (temperature) and the least probability
 is set that lets at most ``FALSE`` of the unknown paragraphs through; below it a
-paragraph is unknown.  What is predicted counts only if it also holds the greater
-part of a template of that family.
+paragraph is unknown.  What is predicted counts only if it also holds ``CONFIRM`` of
+the word pairs of a part (``PART`` pairs in a row, or all) of a template of that
+family, one pair among them that no other kind of licence has, and no less than of
+any other family.  Templates are those below and ``VERBS`` x ``NAMES``.  SPDX tags are
+read by their ids; an id of none of the families gives nothing.
 
 A paragraph is a line.  Defined cases: null or empty text has no paragraphs and
 no families; paragraphs of any length are taken whole; repeated rows give repeated
@@ -16,6 +19,8 @@ rows; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, slices, table
 
-SAMPLE, FALSE, CONFIRM, MIN_HITS = 3000, 0.001, 0.7, 2
+SAMPLE, FALSE, CONFIRM, PART, MIN_HITS = 3000, 0.001, 0.7, 12, 2
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
@@ -36,9 +41,39 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.", "This work is dedicated to the public domain under the CC0 1.0 Universal dedication."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
-    "proprietary": ["All rights reserved. No part of this document may be reproduced without written permission of the copyright holder.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this document may be reproduced without written permission of the copyright holder.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
+}
+VERBS = ["Licensed under the", "Released under the", "Distributed under the", "Licensed under"]
+_GNU = ["", " version 2", " version 2.0", " version 2.1", " version 3", " version 3.0", " v2", " v2.0", " v2.1", " v3", " v3.0", " 2.0", " 2.1", " 3.0"]
+NAMES = {
+    "apache-1.1": ["Apache License Version 1.1", "Apache License 1.1", "Apache Software License Version 1.1"],
+    "apache-2.0": ["Apache License", "Apache License Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache Software License Version 2.0"],
+    "mit": ["MIT License", "MIT X11 License", "terms of the MIT License"],
+    "gpl": [x + v for x in ("GNU General Public License", "GNU GPL", "GPL") for v in _GNU] + ["GPLv2", "GPLv3", "terms of the GNU General Public License"],
+    "lgpl": [x + v for x in ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL") for v in _GNU] + ["LGPLv2", "LGPLv2.1", "LGPLv3", "terms of the GNU Lesser General Public License"],
+    "agpl": [x + v for x in ("GNU Affero General Public License", "GNU AGPL", "AGPL") for v in _GNU] + ["AGPLv3", "terms of the GNU Affero General Public License"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "BSD 4-Clause License", "2-Clause BSD License", "3-Clause BSD License", "New BSD License", "Simplified BSD License", "Modified BSD License"],
+    "mpl-1.1": ["Mozilla Public License Version 1.1", "Mozilla Public License 1.1", "Mozilla Public License v. 1.1", "MPL 1.1"],
+    "mpl-2.0": ["Mozilla Public License", "Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v. 2.0", "MPL 2.0"],
+    "cc-by": [f"{x}{k} {v}" for k in ("", "-SA", "-ND") for v in ("2.0", "2.5", "3.0", "4.0") for x in ("CC BY", "CC-BY")] + [f"Creative Commons Attribution{k} {v} {w} License" for k in ("", "-ShareAlike", "-NoDerivatives") for v, w in (("3.0", "Unported"), ("4.0", "International"))],
+    "cc-by-nc": [f"{x}-NC{k} {v}" for k in ("", "-SA", "-ND") for v in ("2.0", "2.5", "3.0", "4.0") for x in ("CC BY", "CC-BY")] + [f"Creative Commons Attribution-NonCommercial{k} {v} {w} License" for k in ("", "-ShareAlike", "-NoDerivatives") for v, w in (("3.0", "Unported"), ("4.0", "International"))],
+    "cc0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero"],
+    "unlicense": ["Unlicense"],
 }
-FAMILIES = [*TEMPLATES, "unknown"]
+_KIND, _VERSION = {"lgpl": "gpl", "agpl": "gpl", "cc0": "cc"}, re.compile(r"v?[\d.,;:]*")
+FAMILIES = [*TEMPLATES, *(f for f in NAMES if f not in TEMPLATES), "unknown"]
+#: Families of SPDX ids, by the first pattern that fits the id in small letters.
+SPDX = [(re.compile(p), f) for p, f in [(r"apache-1\.", "apache-1.1"), (r"apache-2\.0", "apache-2.0"), (r"mit($|-)", "mit"), (r"gpl-", "gpl"), (r"lgpl-", "lgpl"), (r"agpl-", "agpl"), (r"0?bsd($|-)", "bsd"), (r"mpl-1\.", "mpl-1.1"), (r"mpl-2\.", "mpl-2.0"), (r"cc-by-nc-", "cc-by-nc"), (r"cc-by-", "cc-by"), (r"cc0-", "cc0"), (r"unlicense$", "unlicense"), (r"licenseref-proprietary", "proprietary")]]
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\s*<>]+(?:[ \t]+(?:and|or|with)[ \t]+[^\s*<>]+)*)", re.I)
+
+
+def spdx(line: str) -> list[str]:
+    """Families of the ids in the SPDX tags of a line (what follows WITH is an exception, not a licence)."""
+    found = []
+    for tag in _TAG.findall(line):
+        ids = re.split(r"\s+(?:and|or)\s+", tag.lower())
+        found += [f for x in ids for f in [next((f for p, f in SPDX if p.match(x.strip("()\"',;").split()[0].strip("()\"',;"))), None)] if f] if all(x.strip("()\"',;") for x in ids) else []
+    return list(dict.fromkeys(found))
 
 
 class _Words(dict):
@@ -64,16 +99,34 @@ def _bigrams(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * U64(3) + h[1:])
 
 
+def _share(at: list[tuple[int, bool]], size: int) -> float:
+    """The largest share of ``PART`` pairs in a row (or of all) that were found; 0 without an own pair among them."""
+    hit, own = np.zeros(size), np.zeros(size)
+    for i, o in at:
+        hit[i], own[i] = 1, max(own[i], o)
+    part = np.ones(min(PART, size))
+    return float((np.convolve(hit, part, "valid") / len(part) * (np.convolve(own, part, "valid") > 0.5)).max())
+
+
 class Scanner:
     """Features, model and templates; small (some thousand numbers), sent to the executors with the function."""
 
     def __init__(self):
-        grams, self.templates = [], {}
-        for family, texts in TEMPLATES.items():
-            for t in texts:
-                h = _hashes(t.encode().split())
-                grams += [h, _bigrams(h)]
-                self.templates.setdefault(family, []).append(frozenset(_bigrams(h).tolist()))
+        grams, self.templates, self.forms = [], [], {f: list(TEMPLATES.get(f, [])) for f in FAMILIES[:-1]}
+        for family, names in NAMES.items():
+            self.forms[family] += [f"{v} {x}" for v in VERBS for x in names]
+        hashed = [(f, _hashes(t.encode().split()), t.split()) for f, ts in self.forms.items() for t in ts]
+        kinds: dict[int, set[str]] = {}
+        for family, h, _ in hashed:
+            for x in h.tolist():
+                kinds.setdefault(x, set()).add(_KIND.get(family, family.split("-")[0]))
+        self.places: dict[int, list[tuple[int, int, bool]]] = {}  # of each pair: template, position, whether a word of it is known from one kind of licence alone
+        for k, (family, h, words) in enumerate(hashed):
+            grams += [h, _bigrams(h)]
+            self.templates.append((family, len(h) - 1))
+            own = [len(kinds[x]) == 1 and not _VERSION.fullmatch(w) for x, w in zip(h.tolist(), words)]
+            for i, x in enumerate(_bigrams(h).tolist()):
+                self.places.setdefault(x, []).append((k, i, own[i] or own[i + 1]))
         self.grams = np.unique(np.concatenate(grams))
         self.pairs = np.unique(np.concatenate(grams[1::2]))
         self.weights = np.zeros((len(self.grams) + 2, len(FAMILIES)))
@@ -97,10 +150,18 @@ class Scanner:
         z = np.exp(z - z.max(axis=-1, keepdims=True))
         return z / z.sum(axis=-1, keepdims=True)
 
-    def confirmed(self, h: np.ndarray, family: str) -> float:
-        """The largest share of a template's word pairs that the paragraph holds."""
-        have = set(_bigrams(h).tolist())
-        return max((len(t & have) / len(t) for t in self.templates[family]), default=0.0)
+    def confirmed(self, h: np.ndarray) -> dict[str, float]:
+        """By family, the largest share of the word pairs of a part of a template that the paragraph holds, with a pair of that kind alone."""
+        hits: dict[int, list[tuple[int, bool]]] = {}
+        for x in set(_bigrams(h).tolist()):
+            for k, i, own in self.places.get(x, ()):
+                hits.setdefault(k, []).append((i, own))
+        out: dict[str, float] = {}
+        for k, at in hits.items():
+            family, size = self.templates[k]
+            if len(at) >= CONFIRM * min(PART, size) and (share := _share(at, size)) > out.get(family, 0.0):
+                out[family] = share
+        return out
 
     def train(self, others: list[str], seed: int = 1) -> Scanner:
         rng = np.random.default_rng(seed)
@@ -108,9 +169,9 @@ class Scanner:
         filler = np.array(filler, dtype=object)
         rows, y = [], []
         add = lambda words, label: (rows.append(self.vector(_hashes(" ".join(words).encode("utf-8", "replace").split()))), y.append(label))
-        for label, family in enumerate(TEMPLATES):
-            for _ in range(150):
-                words = rng.choice(TEMPLATES[family]).split()
+        for label, family in enumerate(FAMILIES[:-1]):
+            for k in range(150):
+                words = rng.choice(TEMPLATES[family] if k % 2 and family in TEMPLATES else self.forms[family]).split()
                 if len(words) > 12 and rng.random() < 0.5:
                     a = rng.integers(0, len(words) // 3)
                     words = words[a : a + max(8, int(len(words) * 0.7))]
@@ -126,7 +187,7 @@ class Scanner:
         for p in others:
             h = _hashes(p.encode("utf-8", "replace").split())
             known = np.isin(_bigrams(h), self.pairs).any() if len(h) > 1 else False
-            if len(h) and not (known and any(self.confirmed(h, f) >= CONFIRM for f in TEMPLATES)):
+            if len(h) and not (known and max(self.confirmed(h).values(), default=0.0) >= CONFIRM):
                 rows.append(self.vector(h))
                 y.append(unknown)
         for _ in range(600):
@@ -163,24 +224,25 @@ class Scanner:
         h = _hashes([w for ws in words for w in ws])
         if len(h) < 2:
             return n, []
+        out = [(k, f, 1.0, 1.0) for k, x in enumerate(lines) for f in spdx(x)] if "spdx-" in text.lower() else []
+        tagged = {m[0] for m in out}
         pairs = _bigrams(h)
         at = np.searchsorted(self.pairs, pairs)
         at[at == len(self.pairs)] = 0
         where = np.flatnonzero(self.pairs[at] == pairs)
         if len(where) < MIN_HITS - 1:
-            return n, []
+            return n, out
         ends = np.cumsum(size)
         line = np.searchsorted(ends, where, side="right")
-        out = []
         for k, hits in zip(*np.unique(line, return_counts=True)):
             own = h[ends[k] - size[k] : ends[k]]
-            if hits < min(MIN_HITS, max(1, len(own) - 1)):
+            if k in tagged or hits < min(MIN_HITS, max(1, len(own) - 1)):
                 continue
             p = self.probabilities(self.vector(own))
             best = int(p.argmax())
-            if best < len(FAMILIES) - 1 and p[best] >= self.least and (share := self.confirmed(own, FAMILIES[best])) >= CONFIRM:
+            if best < len(FAMILIES) - 1 and p[best] >= self.least and (share := (shares := self.confirmed(own)).get(FAMILIES[best], 0.0)) >= CONFIRM and share == max(shares.values()):
                 out.append((int(k), FAMILIES[best], float(p[best]), float(share)))
-        return n, out
+        return n, sorted(out, key=lambda m: m[0])
 
 
 def trained(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Scanner:
@@ -207,7 +269,7 @@ def scan_documents(df: DataFrame, scanner: Scanner, key: str = "doc_id", text: s
     def run(batches):
         for b in slices(batches):
             found = [scanner.paragraphs(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len(m) for _, m in found], pa.int64()), pa.array([",".join(sorted({x[1] for x in m})) for _, m in found], pa.string())], names=["doc_id", "n_paragraphs", "n_licensed", "families"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len({x[0] for x in m}) for _, m in found], pa.int64()), pa.array([",".join(sorted({x[1] for x in m})) for _, m in found], pa.string())], names=["doc_id", "n_paragraphs", "n_licensed", "families"])
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_paragraphs long, n_licensed long, families string")
 

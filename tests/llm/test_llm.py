@@ -399,6 +399,20 @@ def test_license_scan(spark, sf):
     assert licenses.trained(docs(spark, [])).paragraphs("Released under the MIT License.")[1]
 
 
+def test_license_line_forms(spark, sf):
+    scanner = licenses.trained(table(spark, sf, "documents"))
+    forms = {
+        "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under the Apache License 2.0": "apache-2.0", "Licensed under the Apache License, Version 1.1": "apache-1.1",
+        "Distributed under the MPL 1.1": "mpl-1.1", "Licensed under the GNU LGPL v3": "lgpl", "SPDX-License-Identifier: GPL-2.0-only": "gpl", "// SPDX-License-Identifier: MPL-1.1": "mpl-1.1", "SPDX-License-Identifier: BSD-2-Clause": "bsd",
+    }
+    for t, family in forms.items():
+        assert [m[:2] for m in scanner.paragraphs("Some words.\n" + t)[1]] == [(1, family)], t
+    assert [m[1] for m in scanner.paragraphs("# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later WITH Classpath-exception-2.0)")[1]] == ["mit", "gpl"]
+    for t in ("Licensed under the Eclipse Public License, v. 2.0", "Licensed under the Artistic License 2.0", "This offer is subject to the terms of the contract", "SPDX-License-Identifier:"):
+        assert not scanner.paragraphs(t)[1], t
+
+
 # -- 6 ------------------------------------------------------------------------
 def test_revisits(spark):
     rec = Row("record_id", "url", "ts", "kind", "status", "headers", "payload_digest")
