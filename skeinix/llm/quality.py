@@ -1,13 +1,15 @@
 """Operator 9: quality rules with risk-controlled thresholds.
 
 Every text gets counts (``features``).  Fixed base rules reject the hopeless; the
-other rules reject a document whose score is above a cutoff learned from labels:
-for each stratum and rule, the lowest cutoff of a fixed grid at which the share of
-good documents (label 1) above it is, by the exact binomial (Clopper-Pearson)
-bound, at most the rule's part of ``risk``.  The level ``miss`` is divided by
-strata x rules x grid (Bonferroni), so with probability 1 - miss no stratum loses
-more than ``risk`` of its good documents to the learned rules.  A stratum with too
-few labels to show that gets no cutoff and keeps everything.
+other rules reject a document whose score is above a cutoff learned from labels.
+For each stratum a sequence of sets of cutoffs, each stricter than the one before, is
+laid out from the rows that aren't labelled good (``sequence``).  It is walked on the
+good ones (label 1) for as long as the share of them that the set rejects, by all
+rules together, is by the exact binomial (Clopper-Pearson) bound at most ``risk``.
+Testing in a fixed sequence needs no division of the level; ``miss`` is divided by the
+number of strata that have labels enough to show anything (``able``), so with
+probability 1 - miss no stratum loses more than ``risk`` of its good documents to the
+learned rules.  A stratum with too few labels gets no cutoff and keeps everything.
 
 Defined cases: null text has no words (and fails the base); null stratum is the
 stratum ''; null keys or labels don't take part in fitting; repeated rows count as
@@ -107,27 +109,68 @@ def shown(k: int, n: int, risk: float, level: float) -> bool:
     return n > 0 and k <= risk * n and binomial_tail(k, n, risk) <= level
 
 
+def able(sizes: list[tuple[int, int]], risk: float, miss: float) -> int:
+    """How many strata could show the risk at level miss / that number with no good document rejected; sizes: (good labels, strata that have as many)."""
+    m = 0
+    for n, strata in sorted(sizes, reverse=True):
+        m += min(strata, max(0, int(miss / (1 - risk) ** n if n * -math.log1p(-risk) < 300 else strata + m) - m))
+    return m
+
+
+def sequence(bins: np.ndarray, junk: np.ndarray, other: np.ndarray) -> list[list[int]]:
+    """Sets of cutoffs (one a rule), each stricter than the one before.
+
+    bins: (cells, rules) of the rows not labelled good, of which junk are labelled bad
+    and other have no label.  First come the steps that reject the most junk for the
+    other rows they reject, then the remaining ones, loosest first, all rules in turn.
+    """
+    sizes = [len(GRID[r]) for r in RULES]
+    cut, out, kept = list(sizes), [], np.ones(len(bins), bool)
+    while (kept & (junk > 0)).any():
+        best = None
+        for k, n in enumerate(cut):
+            for c in range(n):
+                hit = kept & (bins[:, k] > c)
+                gain = int(junk[hit].sum())
+                if gain and (best is None or (gain / (1 + other[hit].sum()), gain, c) > best[0]):
+                    best = (gain / (1 + other[hit].sum()), gain, c), k, c
+        if best is None:
+            break
+        cut[best[1]] = best[2]
+        kept &= bins[:, best[1]] <= best[2]
+        out.append(list(cut))
+    for _, k, c in sorted((1 - c / sizes[k], k, c) for k in range(len(sizes)) for c in range(cut[k])):
+        cut[k] = c
+        out.append(list(cut))
+    return out
+
+
 def fit(feats: DataFrame, labels: DataFrame, risk: float = 0.01, miss: float = 0.05, key: str = "doc_id", good: str = "quality") -> DataFrame:
     """Cutoffs: (stratum, rule, cut), a document failing a rule if its index in the grid is above cut.
 
-    All labelled rows that pass the base rules count; what moves is a histogram of
-    strata x rules x grid, combined before the shuffle.
+    All rows that pass the base rules count; what moves is the joint histogram of the
+    rules' grids in each stratum (some 50,000 cells at most), combined before the shuffle.
     """
-    marked = labels.where(F.col(good) == 1).select(F.col(key).cast("long").alias("doc_id")).where("doc_id is not null")
-    clean = feats.where(~F.col("base_failed")).join(marked, "doc_id")
-    stacked = ", ".join(f"'{r}', b_{r}" for r in RULES)
-    seen = clean.select("stratum", F.expr(f"stack({len(RULES)}, {stacked}) as (rule, bin)")).groupBy("stratum", "rule", "bin").agg(F.count("*").alias("n"))
-    tests = feats.select("stratum").distinct().count() * sum(len(GRID[r]) for r in RULES)
-    part = risk / len(RULES)
+    marked = labels.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.sum((F.col(good) == 1).cast("long")).alias("g"), F.sum((F.col(good) == 0).cast("long")).alias("j")).where("doc_id is not null")
+    clean = feats.where(~F.col("base_failed")).join(marked, "doc_id", "left").fillna(0, ["g", "j"])
+    bins = [f"b_{r}" for r in RULES]
+    seen = settled(clean.groupBy("stratum", *bins).agg(F.sum("g").alias("good"), F.sum(F.when(F.col("g") == 0, F.col("j")).otherwise(0)).alias("junk"), F.sum(((F.col("g") == 0) & (F.col("j") == 0)).cast("long")).alias("other")))
+    strata = seen.groupBy("stratum").agg(F.sum("good").alias("n")).where("n > 0").groupBy("n").count().collect()
+    level = miss / max(1, able([(r["n"], r["count"]) for r in strata], risk, miss))
 
     def choose(t: pa.Table) -> pa.Table:
-        rule, stratum, level = t["rule"][0].as_py(), t["stratum"][0].as_py(), miss / max(1, tests)
-        bins, n = t["bin"].to_numpy(), t["n"].to_numpy()
-        cut = next((c for c in range(len(GRID[rule])) if shown(int(n[bins > c].sum()), int(n.sum()), part, level)), None)  # lowest first
-        rows = [] if cut is None else [{"stratum": stratum, "rule": rule, "cut": cut}]
+        at = np.stack([t[b].to_numpy() for b in bins], axis=1)
+        n, junk, other = (t[c].to_numpy() for c in ("good", "junk", "other"))
+        chosen = [len(GRID[r]) for r in RULES]
+        if shown(0, int(n.sum()), risk, level):
+            for cut in sequence(at, junk, other):
+                if not shown(int(n[(at > np.array(cut)).any(axis=1)].sum()), int(n.sum()), risk, level):
+                    break
+                chosen = cut
+        rows = [{"stratum": t["stratum"][0].as_py(), "rule": r, "cut": c} for r, c in zip(RULES, chosen) if c < len(GRID[r])]
         return pa.Table.from_pylist(rows, schema=pa.schema([("stratum", pa.string()), ("rule", pa.string()), ("cut", pa.int32())]))
 
-    return seen.groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule string, cut int")
+    return seen.groupBy("stratum").applyInArrow(choose, "stratum string, rule string, cut int")
 
 
 def cutoffs(chosen: DataFrame, most_strata: int = 100_000) -> dict[str, list[int]]:

@@ -227,6 +227,18 @@ def test_quality_thresholds_limit_false_rejection(spark):
     assert edge.where("doc_id = 0").first().base_failed and quality.fit(quality.features(docs(spark, [])), lab).count() == 0
 
 
+def test_quality_learns_from_some_hundred_labels(spark):
+    """Separable junk goes where a stratum has the labels that the joint bound needs."""
+    rng = random.Random(18)
+    rows = [(i, sentence(rng, 30).replace(" ", " " if i % 10 else " ##"), "de" if i < 700 else "es", None, 0) for i in range(900)]
+    d, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    feats, chosen = quality.learned(d, lab)
+    gone = {r.doc_id for r in quality.verdicts(feats, chosen).where("not kept").collect()}
+    assert gone >= set(range(0, 700, 10)) and not any(i >= 700 for i in gone)  # 630 and 180 good labels
+    assert sum(i % 10 > 0 for i in gone) <= 0.01 * 630
+    assert quality.able([(630, 1), (180, 1)], 0.01, 0.05) == 1 and quality.able([(2076, 1), (507, 1), (505, 1), (321, 1)], 0.01, 0.05) == 3
+
+
 # -- 10 -----------------------------------------------------------------------
 def brute_join(texts):
     sets = []
