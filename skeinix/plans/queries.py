@@ -591,6 +591,12 @@ def chunk_hard_cut(spark, sf):
     return chunks(one, ChunkConfig("plain", 500, 0, 0), keep=("doc_id",)).select("doc_id", "chunk_index", F.md5("text").alias("digest"))
 
 
+@query()
+def chunk_plain(spark, sf):
+    """Plain chunks of all documents, lines packed up to 500 characters and longer ones cut; tests hold it against brute force (SQL holds the documents of one line, see chunk_hard_cut)."""
+    return chunks(T(spark, sf, "documents").select("doc_id", "text"), ChunkConfig("plain", 500, 0, 0), keep=("doc_id",)).select("doc_id", "chunk_index", F.md5("text").alias("digest"))
+
+
 @query()
 def redacted(spark, sf):
     """Documents with secrets replaced; tests hold the function against worked cases."""
