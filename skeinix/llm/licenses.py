@@ -12,7 +12,10 @@ family, one pair among them that no other kind of licence has, and no less than
 any other family.  Templates are those below and ``VERBS`` x ``NAMES``.  SPDX tags are
 read by their ids; an id of none of the families gives nothing.
 
-A paragraph is a line.  Defined cases: null or empty text has no paragraphs and
+A paragraph is a line; a licence counts for the line that it begins in.  What is
+judged is the stretch of words round the hits of a template, over line ends up to a
+blank line, whatever stands before and after it; signs of comments don't count as
+words.  Defined cases: null or empty text has no paragraphs and
 no families; paragraphs of any length are taken whole; repeated rows give repeated
 rows; other columns are ignored; an empty table gives no rows.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, slices, table
 
-SAMPLE, FALSE, CONFIRM, PART, MIN_HITS = 3000, 0.001, 0.7, 12, 2
+SAMPLE, FALSE, CONFIRM, PART, GAP, MIN_HITS = 3000, 0.001, 0.7, 12, 8, 2
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
@@ -170,11 +173,12 @@ class Scanner:
         rows, y = [], []
         add = lambda words, label: (rows.append(self.vector(_hashes(" ".join(words).encode("utf-8", "replace").split()))), y.append(label))
         for label, family in enumerate(FAMILIES[:-1]):
-            for k in range(150):
-                words = rng.choice(TEMPLATES[family] if k % 2 and family in TEMPLATES else self.forms[family]).split()
-                if len(words) > 12 and rng.random() < 0.5:
-                    a = rng.integers(0, len(words) // 3)
-                    words = words[a : a + max(8, int(len(words) * 0.7))]
+            long = [t for t in self.forms[family] if len(t.split()) > PART + 1]
+            for k in range(240):
+                words = rng.choice(long if k % 2 and long else TEMPLATES[family] if k % 4 and family in TEMPLATES else self.forms[family]).split()
+                if len(words) > PART + 1 and rng.random() < 0.7:
+                    a = rng.integers(0, len(words) - PART)
+                    words = words[a : a + rng.integers(PART, len(words) - a + 1)]
                 if rng.random() < 0.3:
                     words[rng.integers(len(words))] = rng.choice(filler)
                 if rng.random() < 0.5:
@@ -221,29 +225,61 @@ class Scanner:
         words = [x.encode("utf-8", "replace").split() for x in lines]
         size = np.array([len(w) for w in words])
         n = int((size > 0).sum())
+        out = [(k, f, 1.0, 1.0) for k, x in enumerate(lines) for f in spdx(x)] if n and "spdx-" in text.lower() else []
+        tagged = {m[0] for m in out}
         h = _hashes([w for ws in words for w in ws])
+        line = np.repeat(np.arange(len(lines)), size)
+        block = np.cumsum(size == 0)[line]  # a blank line ends a block
+        real = h != _HASH[b""]  # not a comment sign alone
+        h, line, block = h[real], line[real], block[real]
         if len(h) < 2:
-            return n, []
-        out = [(k, f, 1.0, 1.0) for k, x in enumerate(lines) for f in spdx(x)] if "spdx-" in text.lower() else []
-        tagged = {m[0] for m in out}
+            return n, out
         pairs = _bigrams(h)
         at = np.searchsorted(self.pairs, pairs)
         at[at == len(self.pairs)] = 0
-        where = np.flatnonzero(self.pairs[at] == pairs)
-        if len(where) < MIN_HITS - 1:
+        where = np.flatnonzero((self.pairs[at] == pairs) & (block[:-1] == block[1:]))
+        if len(where) < MIN_HITS:
             return n, out
-        ends = np.cumsum(size)
-        line = np.searchsorted(ends, where, side="right")
-        for k, hits in zip(*np.unique(line, return_counts=True)):
-            own = h[ends[k] - size[k] : ends[k]]
-            if k in tagged or hits < min(MIN_HITS, max(1, len(own) - 1)):
-                continue
-            p = self.probabilities(self.vector(own))
-            best = int(p.argmax())
-            if best < len(FAMILIES) - 1 and p[best] >= self.least and (share := (shares := self.confirmed(own)).get(FAMILIES[best], 0.0)) >= CONFIRM and share == max(shares.values()):
-                out.append((int(k), FAMILIES[best], float(p[best]), float(share)))
+        for part in np.split(where, np.flatnonzero((np.diff(where) > GAP) | (np.diff(block[where]) > 0)) + 1):
+            if len(part) >= MIN_HITS and any(own for x in pairs[part].tolist() for _, _, own in self.places[x]):
+                out += [(int(line[a]), f, p, share) for a, f, p, share in self._notices(h, pairs, part) if int(line[a]) not in tagged]
         return n, sorted(out, key=lambda m: m[0])
 
+    def _notices(self, h: np.ndarray, pairs: np.ndarray, part: np.ndarray) -> list[tuple[int, str, float, float]]:
+        """(first word, family, probability, share) of the licences in a stretch with hits at part, none over another.
+
+        A template's pairs in order, at most ``GAP`` words from one to the next, make a run;
+        what is judged is the words of a run, so neither line ends nor the text round it count.
+        """
+        runs: dict[int, list[list[tuple[int, int, bool]]]] = {}
+        for a in part.tolist():
+            here: dict[int, list[tuple[int, bool]]] = {}
+            for k, i, own in self.places[int(pairs[a])]:
+                here.setdefault(k, []).append((i, own))
+            for k, spots in here.items():
+                own_runs = runs.setdefault(k, [])
+                last = own_runs[-1][-1] if own_runs else None
+                nxt = min((x for x in spots if last and x[0] > last[1]), default=None)
+                if last and nxt and a - last[0] <= GAP:
+                    own_runs[-1].append((a, *nxt))
+                else:
+                    own_runs.append([(a, *min(spots))])
+        found = []
+        for k, own_runs in runs.items():
+            family, size = self.templates[k]
+            for run in own_runs:
+                if len(run) >= CONFIRM * min(PART, size) and (share := _share([(i, o) for _, i, o in run], size)) >= CONFIRM:
+                    found.append((len(run), share, -run[0][0], run[-1][0] + 2, family))
+        out, taken = [], []
+        for _, share, a, end, family in sorted(found, reverse=True):
+            if any(-a < e and end > b for b, e in taken):
+                continue
+            p = self.probabilities(self.vector(h[-a:end]))
+            if FAMILIES[int(p.argmax())] == family and p.max() >= self.least:
+                taken.append((-a, end))
+                out.append((-a, family, float(p.max()), share))
+        return out
+
 
 def trained(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Scanner:
     """A scanner whose unknown class comes from at most ``sample`` paragraphs (the first 400 characters of each are enough to train on)."""

@@ -425,6 +425,25 @@ def test_license_line_forms(spark, sf):
         assert not scanner.paragraphs(t)[1], t
 
 
+def test_license_wrapped_and_embedded(spark, sf):
+    import textwrap
+
+    scanner = licenses.trained(table(spark, sf, "documents"))
+    rng = random.Random(22)
+    for family in ("mit", "bsd", "gpl", "apache-2.0"):
+        t = max(licenses.TEMPLATES[family], key=len)
+        for width in (40, 72, 80):
+            for sign in ("", "# ", " * ", "// "):
+                text = "\n".join(sign + x for x in ["Some file of ours", "", *textwrap.wrap(t, width), "", "more"]).replace("\n\n", "\n \n")
+                assert [m[:2] for m in scanner.paragraphs(text)[1]] == [(2, family)], text
+        for n in (30, 150, 600):
+            assert [m[:2] for m in scanner.paragraphs(sentence(rng, n) + " " + t + " " + sentence(rng, n))[1]] == [(0, family)]
+    assert [m[1] for m in scanner.paragraphs("Permission is hereby granted, free of charge, to any person obtaining a copy")[1]] == ["mit"]
+    two = "Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    assert [m[:2] for m in scanner.paragraphs(two)[1]] == [(0, "mit"), (1, "apache-2.0")]
+    assert not scanner.paragraphs("All rights\n\nreserved.")[1]
+
+
 # -- 6 ------------------------------------------------------------------------
 def test_revisits(spark):
     rec = Row("record_id", "url", "ts", "kind", "status", "headers", "payload_digest")
