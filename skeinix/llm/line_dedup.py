@@ -13,7 +13,8 @@ by key and read as a stream, so a hot bucket needs no memory.
 
 Defined cases: null or empty text has no lines; a line is known by (doc_id,
 line_no), so a repeated row has the same results as the first one, and
-``dedup_lines`` keeps one of the rows; null doc_ids come first in order; lines of
+``dedup_lines`` keeps one of the rows and tells different texts of one doc_id, or of
+none, apart; null doc_ids come first in order; lines of
 fewer than 8 characters have one shingle, the line itself; very long lines are
 taken whole; other columns pass through ``dedup_lines`` unchanged (``n_chars``,
 where there is one, is counted anew).
@@ -93,18 +94,19 @@ def band_keys(lines: list[str], most: int = 1 << 20) -> np.ndarray:
     return keys.T
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, line_no, h1, h2) of every line with a visible character."""
+def lines_of(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, line_no, h1, h2) of every line with a visible character; by_text: also row, a hash of the text that it is in."""
 
     def run(batches):
         claim("lines")
         for b in slices(batches):
             rows = [(k, n, x) for k, t in enumerate(b.column(1).to_pylist()) if t for n, x in enumerate(t.split("\n")) if x.strip(_BLANK)]
             lines = [r[2] for r in rows]
+            of = pa.array(b.column(2)).take(pa.array([r[0] for r in rows], pa.int64())) if by_text else None
             cols = [b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array(line_ids(lines)), pa.array(line_ids(lines, 7))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line_no", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*cols, *([of] * by_text)], names=["doc_id", "line_no", "h1", "h2", *(["row"] * by_text)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no long, h1 long, h2 long")
+    return docs.select("doc_id", "text", *([F.xxhash64("text")] * by_text)).mapInArrow(run, "doc_id long, line_no long, h1 long, h2 long" + ", row long" * by_text)
 
 
 def _visible(texts) -> list[str]:
@@ -202,30 +204,35 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
-def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per line: doc_id, line_no, first_doc_id and first_line_no (of its component), n_lines (of its component), kept."""
+def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", by_text: bool = False) -> DataFrame:
+    """Per line: doc_id, line_no, first_doc_id and first_line_no (of its component), n_lines (of its component), kept.
+
+    by_text: rows of one doc_id (or none) with different texts are told apart, by row, a hash of the text.
+    """
+    at = ["doc_id", "line_no", *(["row"] * by_text)]
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lines = settled(lines_of(docs))
+    lines = settled(lines_of(docs, by_text))
     members = settled(buckets(docs))
     release(df.sparkSession)
     placed = cells(members).join(texts_of(docs, bitmap(members, F.pmod("id", F.lit(BITS)))), "id").withColumn("weight", F.lit(1).cast("long"))
     found = settled(links(placed, features, NUM, DEN))
     release(df.sparkSession)
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(*at)).alias("first"), F.count("*").alias("n"))
     named = classes.join(joined, F.col("h1") == F.col("node"), "left").select("h1", "h2", "first", "n", F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("d")).alias("c"))
     whole = named.groupBy("c").agg(F.min("first").alias("keeper"), F.sum("n").alias("n_lines"))
     per = named.join(whole, named["c"].eqNullSafe(whole["c"])).select("h1", "h2", "keeper", "n_lines")
-    return lines.join(per, ["h1", "h2"]).select("doc_id", "line_no", F.col("keeper.doc_id").alias("first_doc_id"), F.col("keeper.line_no").alias("first_line_no"), "n_lines", (F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.line_no") == F.col("line_no"))).alias("kept"))
+    same = F.col("keeper.row") == F.col("row") if by_text else F.lit(True)
+    return lines.join(per, ["h1", "h2"]).select(*at, F.col("keeper.doc_id").alias("first_doc_id"), F.col("keeper.line_no").alias("first_line_no"), "n_lines", (F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.line_no") == F.col("line_no")) & same).alias("kept"))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the lines that aren't kept; documents that had lines and lose all of them go."""
     from pyspark.sql import Window
 
-    per = line_components(df, key, text)
-    gone = settled(per.where("not kept").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone")))
-    d = df.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__of")), "left")
+    per = line_components(df, key, text, by_text=True)
+    gone = settled(per.where("not kept").groupBy(F.col("doc_id").alias("__of"), F.col("row").alias("__row")).agg(F.collect_set("line_no").alias("__gone")))
+    d = df.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__row")), "left")
     parts = F.split(F.col(text), "\n")
     left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
     d = d.withColumn("__left", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))

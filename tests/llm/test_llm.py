@@ -343,6 +343,16 @@ def test_line_dedup(spark):
     assert sorted(r.doc_id for r in line_dedup.dedup_lines(same).collect()) == [1, 2]
 
 
+def test_line_dedup_of_shared_and_null_ids(spark):
+    """A row loses only its own lines, whatever other rows have its id."""
+    for i, first in ((None, None), (7, 3)):
+        texts = ["copied from elsewhere\nunique words A", "unique words of B\nother things here", "copied from elsewhere\nlast thing"]
+        got = sorted(r.text for r in line_dedup.dedup_lines(docs(spark, [*texts, "copied from elsewhere"], [i, i, i, 3])).collect())
+        lines = sorted(x for t in got for x in t.split("\n"))
+        assert lines == sorted(["copied from elsewhere", "unique words A", "unique words of B", "other things here", "last thing"]), got
+        assert texts[1] in got and (first is None or "copied from elsewhere" in got)
+
+
 # -- 4 ------------------------------------------------------------------------
 def test_ann_recall_and_edges(spark, sf):
     base = table(spark, sf, "embeddings")
