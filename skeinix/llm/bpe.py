@@ -2,12 +2,13 @@
 
 The distinct pre-tokens of a stretch of text are put in order, which lays the
 trie of all of them out depth first: a word's path shares its first ``lcp``
-symbols with the path of the word before it.  For every node the walk keeps one
-number, the *last token* of the encoding of the node's prefix.  An encoding of
-``prefix`` is the encoding of ``prefix[:-len(t)]`` followed by ``t``, for the one
-suffix ``t`` that is in the vocabulary and stays apart from the token before it,
-so a node needs only its ancestors' last tokens, and the states of a shared
-prefix are computed once for all words below it.
+symbols with the path of the word before it.  For every node the walk keeps two
+numbers: the *last token* of the encoding of the node's prefix, and the longest
+suffix of it that begins a token (an Aho-Corasick state, which lists the tokens
+that end there).  An encoding of ``prefix`` is the encoding of ``prefix[:-len(t)]``
+followed by ``t``, for the one suffix ``t`` that is in the vocabulary and stays
+apart from the token before it, so a node needs only its ancestors' numbers, and
+the states of a shared prefix are computed once for all words below it.
 
 Token ids must grow with merge rank (true of the two vocabularies used here and
 checked at load).
@@ -18,6 +19,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -29,8 +32,10 @@ from .common import _CLEAR, claim
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LATIN_L = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 _LATIN_N = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
-_GPT = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
-_WORD = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{W}{L}{N}]+"
+_GPT = " ?[{L}]+| ?[{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
+_WORD = "[{L}]+|[{N}]|'(?:s|t|re|ve|m|ll|d)|[^{W}{L}{N}]+"
+#: Characters of a text that are taken apart at a time, which bounds the memory; nothing is left out.
+PIECE = 1 << 20
 
 
 def _byte_chars() -> dict[str, int]:
@@ -49,8 +54,9 @@ class TrieBPE:
     changes the speed alone.
     """
 
-    def __init__(self, path: str, memo_words: int = 800_000):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, path: str, memo_words: int = 500_000):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model, chars = spec["model"], _byte_chars()
         self.end = model.get("end_of_word_suffix") or ""
         self.lower = bool(self.end)
@@ -80,19 +86,42 @@ class TrieBPE:
             self.left[z], self.right[z] = x, y
         self._apart: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self.longest = max(map(len, self.plain))
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self._begin_states()
+        self.words: dict[str, bytes] = {s: array("H", [i]).tobytes() for s, i in self.special.items()}
         self.memo_words = memo_words
         shape = _WORD if self.end else _GPT
         self._latin = re.compile(shape.format(L=_LATIN_L, N=_LATIN_N, W=WS))
         self._any = regex.compile(shape.format(L=r"\p{L}", N=r"\p{N}", W=WS))
-        self._chunk = re.compile(f"[^{WS}]+" if self.end else f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+        self._seam = re.compile(f"(?<=[^{WS}]) (?=[^{WS}])")
+        self._beyond = re.compile("[^\x00-\u024f]")
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._odd = re.compile("[\x1c-\x1f]")
         if self.end and "Σ".lower() != "σ":
             raise AssertionError
 
+    # -- the tokens that end at a place ------------------------------------
+    def _begin_states(self) -> None:
+        self._prefix = {t[:k] for d in (self.plain, self.ended) for t in d for k in range(1, len(t) + 1)}
+        self._name, self._number = [b""], {b"": 0}
+        self._next: dict[int, int] = {}
+        self._outs: list[list[tuple[int, int]]] = [[]]
+        self._ends: list[list[tuple[int, int]]] = [[]]
+
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte, worked out when it is first needed."""
+        name = self._name[state] + bytes([byte])
+        while name and name not in self._prefix:
+            name = name[1:]
+        new = self._number.get(name)
+        if new is None:
+            new = self._number[name] = len(self._name)
+            self._name.append(name)
+            for table, outs in ((self.plain, self._outs), (self.ended, self._ends)):
+                outs.append([(table[x], len(x)) for x in (name[j:] for j in range(len(name))) if x in table])
+        if len(self._next) > 1_000_000:
+            self._next.clear()
+        self._next[state << 8 | byte] = new
+        return new
+
     # -- the walk ---------------------------------------------------------
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves tokens a and b, next to each other, as they are."""
@@ -124,7 +153,7 @@ class TrieBPE:
                     if x == limit:
                         out = True
                         break
-        if len(self._apart) > 2_000_000:
+        if len(self._apart) > 400_000:
             self._apart.clear()
         self._apart[key] = out
         return out
@@ -150,40 +179,44 @@ class TrieBPE:
             ids[at : at + 2] = [best]
         return ids == [t]
 
-    def walk(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each of the words, which must be sorted and not empty."""
-        plain, ended, longest, length = self.plain, self.ended, self.longest, self.length
-        apart, whole, known = self.apart, self.whole, self._apart.get
-        last = [0]  # of the path: the last token of each prefix, by its length
-        before, out = b"", []
+    def walk(self, words: list[bytes]) -> Iterator[bytes]:
+        """Token ids (16 bits each) of each of the words, which must be sorted and not empty."""
+        outs, ends, step, nxt = self._outs, self._ends, self._step, self._next.get
+        apart, whole, known, length = self.apart, self.whole, self._apart.get, self.length
+        closed = bool(self.ended)
+        last, states = [0], [0]  # of the path: the last token and the state of each prefix, by its length
+        before = b""
         for word in words:
             n = len(word)
-            stop = n - 1 if ended else n
+            stop = n - 1 if closed else n
             k, most = 0, min(len(before), stop, len(last) - 1)
             if before[:most] == word[:most]:
                 k = most
             else:
                 while before[k] == word[k]:
                     k += 1
-            del last[k + 1 :]
-            for i in range(k + 1, stop + 1):
-                for j in range(i - longest if i > longest else 0, i):
-                    t = plain.get(word[j:i])
-                    if t is not None:
-                        if j:
-                            p = last[j]
-                            ok = known(p << 20 | t)
-                            if ok or ok is None and apart(p, t):
-                                break
-                        elif whole(t):
+            del last[k + 1 :], states[k + 1 :]
+            s = states[k]
+            for i in range(k, stop):
+                c = word[i]
+                s = x if (x := nxt(s << 8 | c)) is not None else step(s, c)
+                states.append(s)
+                for t, size in outs[s]:
+                    if size <= i:
+                        p = last[i + 1 - size]
+                        ok = known(p << 20 | t)
+                        if ok or ok is None and apart(p, t):
                             break
+                    elif whole(t):
+                        break
                 last.append(t)
-            if ended:
-                for j in range(n - longest if n > longest else 0, n):
-                    t = ended.get(word[j:])
-                    if t is not None and (apart(last[j], t) if j else whole(t)):
+            if closed:
+                c = word[n - 1]
+                s = x if (x := nxt(s << 8 | c)) is not None else step(s, c)
+                for t, size in ends[s]:
+                    if apart(last[n - size], t) if size < n else whole(t):
                         break
-                ids, i = [t], j
+                ids, i = [t], n - size
             else:
                 ids, i = [], n
             while i:
@@ -191,82 +224,63 @@ class TrieBPE:
                 ids.append(t)
                 i -= length[t]
             ids.reverse()
-            out.append(ids)
+            yield array("H", ids).tobytes()
             before = word
-        return out
 
     # -- text -------------------------------------------------------------
-    def _shrink(self, memo: dict) -> None:
-        """Keep the words met first, which are the common ones."""
-        keep = list(islice(memo.items(), self.memo_words // 4))
-        memo.clear()
-        memo.update(keep)
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode the distinct chunks that are not known yet."""
-        if len(self.chunks) + len(chunks) > self.memo_words:
-            self._shrink(self.chunks)
-        if len(self.words) + len(chunks) > self.memo_words:
-            self._shrink(self.words)
-        split, new, words = [], set(), self.words
-        for c in chunks:
-            w = c
-            if self.lower:
-                w = (c if c.isascii() else unicodedata.normalize("NFC", c)).replace("Σ", "σ").lower()
-            parts = (self._latin if w.isascii() or max(w) < "ɐ" else self._any).findall(w)
-            split.append(parts)
-            for p in parts:
-                if p not in words:
-                    new.add(p)
-        order = sorted((p.encode("utf-8", "replace"), p) for p in new)
-        for (_, p), ids in zip(order, self.walk([w for w, _ in order])):
-            words[p] = np.array(ids, np.uint16).tobytes()
-        for c, parts in zip(chunks, split):
-            self.chunks[c] = words[parts[0]] if len(parts) == 1 else b"".join(map(words.__getitem__, parts))
-
-    def _split(self, text: str) -> list[str]:
-        if self.end and not self._odd.search(text):
-            return text.split()
-        return self._chunk.findall(text)
-
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """uint16 ids of each text as a tokenizer with its special tokens gives them; null: as the empty text."""
-        cut = []
-        for text in texts:
-            text = text or ""
-            if self._specials and "<|" in text:
-                cut.append([(s, None) if s in self.special else (None, self._split(s)) for s in self._specials.split(text)])
-            else:
-                cut.append(self._split(text))
-        known = self.chunks
-        new: set[str] = set()
-        for parts in cut:
-            for chunks in (c for _, c in parts if c) if parts and isinstance(parts[0], tuple) else (parts,):
-                new.update(c for c in chunks if c not in known)
-            if len(new) > 200_000:  # bounds the memory; nothing is left out
-                self.learn(list(new))
-                new = set()
+    def pieces(self, text: str) -> Iterator[str]:
+        """The text in pieces of about PIECE characters, cut where no pre-token crosses."""
+        at = 0
+        while len(text) - at > PIECE and not any(" " in x for x in self.special) and (seam := self._seam.search(text, at + PIECE)):
+            yield text[at : seam.start()]
+            at = seam.start()
+        yield text[at:] if at else text
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens (normalised, where the layout says so)."""
+        if self.lower:
+            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        return (self._latin if text.isascii() or not self._beyond.search(text) else self._any).findall(text)
+
+    def parts(self, text: str) -> list[str]:
+        """The pre-tokens and special tokens of a text."""
+        if not self._specials or "<|" not in text:
+            return self.cut(text)
         out = []
-        if new:
-            self.learn(list(new))
-        for parts in cut:
-            if parts and isinstance(parts[0], tuple):
-                raw = b"".join(np.uint16(self.special[s]).tobytes() if s else self._join(c) for s, c in parts)
-            else:
-                raw = self._join(parts)
-            out.append(np.frombuffer(raw, np.uint16))
+        for s in self._specials.split(text):
+            out += [s] if s in self.special else self.cut(s)
         return out
 
-    def _join(self, chunks: list[str]) -> bytes:
+    def learn(self, parts: set[str]) -> None:
+        """Encode the pre-tokens that aren't known yet."""
+        words = self.words
+        if new := parts.difference(words):
+            if len(words) + len(new) > self.memo_words:  # keep the words met first, which are the common ones
+                self.words = words = dict(islice(words.items(), self.memo_words // 2))
+                new = parts.difference(words)
+            order = sorted([(p.encode("utf-8", "replace"), p) for p in new])
+            for (_, p), ids in zip(order, self.walk([w for w, _ in order])):
+                words[p] = ids
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """uint16 ids of each text as a tokenizer with its special tokens gives them; null: as the empty text."""
+        if any(t and len(t) > PIECE for t in texts):
+            return [np.concatenate([self._encode_batch([x])[0] for x in self.pieces(t or "")]) for t in texts]
+        return self._encode_batch(texts)
+
+    def _encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [self.parts(t) if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), np.uint16) for p in cut]
+
+    def counts(self, parts: list[str]) -> list[int]:
+        """The number of tokens of each of the pre-tokens."""
         try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:  # dropped by a later shrink
-            self.learn(list({c for c in chunks if c not in self.chunks}))
-            return b"".join(self.chunks[c] if c in self.chunks else self._again(c) for c in chunks)
-
-    def _again(self, chunk: str) -> bytes:
-        self.learn([chunk])
-        return self.chunks[chunk]
+            return [n >> 1 for n in map(len, map(self.words.__getitem__, parts))]
+        except KeyError:
+            self.learn(set(parts))
+            return [n >> 1 for n in map(len, map(self.words.__getitem__, parts))]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_batch([text])[0]

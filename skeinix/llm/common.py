@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 U64 = np.uint64
 #: Rows of text that a worker turns into Python objects at a time, and their bytes.
-SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 #: Size of a bitmap filter that goes to every task: a megabyte, whatever the data.
 BITS = 1 << 23
 
@@ -130,6 +130,13 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def _drop_powers() -> None:
+    _POWERS[:] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+_CLEAR.append(_drop_powers)
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a text column has about ``most`` bytes (one row at least)."""
     for b in batches:

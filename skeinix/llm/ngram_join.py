@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, U64, bitmap, byte_slices, claim, mix, odd, release, settled, table, windows, word_grid
+from .common import _CLEAR, BITS, U64, bitmap, byte_slices, claim, mix, odd, release, settled, table, windows, word_grid
 from .components import components
 from .verify import cells, links
 
@@ -138,6 +138,7 @@ def scheme(x: int, num: int = NUM, den: int = DEN) -> tuple[tuple[int, int, int]
     return tuple(out)
 
 
+_CLEAR.append(scheme.cache_clear)
 _C = odd(8, 3)
 
 
