@@ -122,7 +122,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             x = np.full(n, b, U64)
             x[0] = 1
@@ -137,7 +137,7 @@ def _drop_powers() -> None:
 _CLEAR.append(_drop_powers)
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a text column has about ``most`` bytes (one row at least)."""
     for b in batches:
         c = b.column(column)
@@ -195,5 +195,33 @@ def bitmap(df: DataFrame, place: Column, bits: int = BITS) -> np.ndarray:
     return out
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns that no column of df has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        name = f"__{n}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def without_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
+    """df with one of the rows that are alike in key (not null) and text; texts move only where there are such rows."""
+    from pyspark.sql import functions as F
+
+    at, row, n = fresh_names(df, "id", "row", "n")
+    named = df.withColumn(row, F.xxhash64(F.col(text).cast("string")))
+    twice = settled(named.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(at), F.col(row)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(at, F.col(row).alias(n)))
+    if twice.isEmpty():
+        return df
+    is_one = (F.col(key) == F.col(at)) & (F.col(row) == F.col(n))
+    apart = named.join(twice, is_one, "left_anti")
+    again = named.join(twice, is_one, "left_semi").dropDuplicates([key, row])
+    return apart.unionByName(again).select(*df.columns)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,15 +9,17 @@ are compared once.  The links found are joined by distributed union-find, and of
 each component the line with the least (doc_id, line_no) stays.
 
 Band keys that meet in a task are combined before the shuffle; the rest is sorted
-by key and read as a stream, so a hot bucket needs no memory.
+by key and read as a stream, so a hot bucket needs no memory.  A key of which a task
+holds more than ``HOT`` lines is spread over ``SALTS`` tasks, and a mark tells the task
+that has the rows of other tasks that the key stands for itself.
 
 Defined cases: null or empty text has no lines; a line is known by (doc_id,
 line_no), so a repeated row has the same results as the first one, and
 ``dedup_lines`` keeps one of the rows and tells different texts of one doc_id, or of
 none, apart; null doc_ids come first in order; lines of
 fewer than 8 characters have one shingle, the line itself; very long lines are
-taken whole; other columns pass through ``dedup_lines`` unchanged (``n_chars``,
-where there is one, is counted anew).
+taken whole; an empty table gives no rows; other columns pass through ``dedup_lines``
+unchanged, whatever their names (``n_chars``, where there is one, is counted anew).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, U64, bitmap, claim, mix, odd, release, settled, slices, table
+from .common import BITS, U64, bitmap, claim, fresh_names, mix, odd, release, settled, slices, table, without_repeats
 from .components import components
 from .verify import cells, links
 
@@ -35,6 +37,7 @@ WIDTH, BANDS, ROWS, NUM, DEN = 8, 12, 4, 80, 100
 _M, _A = odd(WIDTH, 11), (odd(BANDS * ROWS, 12) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = odd(BANDS + ROWS, 13)
 _BLANK = " \t\r\x0b\x0c"
+HOT, SALTS = 4096, 64
 
 
 def line_ids(lines: list[str], seed: int = 42) -> np.ndarray:
@@ -113,7 +116,7 @@ def _visible(texts) -> list[str]:
     return list({x for t in texts if t for x in t.split("\n") if x.strip(_BLANK)})
 
 
-def buckets(docs: DataFrame) -> DataFrame:
+def buckets(docs: DataFrame, hot_rows: int = HOT) -> DataFrame:
     """docs: (text). Distinct (group, id): the members of band buckets that hold two lines or more."""
 
     def sign(batches):
@@ -126,8 +129,16 @@ def buckets(docs: DataFrame) -> DataFrame:
             k, i = k[order], i[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])])
             k, i = k[new].view(np.int64), i[new]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(first, len(k)))
+            often = k[first[size > hot_rows]]
+            salt = np.zeros(len(k), np.int32)
+            if len(often):
+                spread = np.isin(k, often)
+                salt[spread] = 1 + (mix(i[spread].view(U64)) % U64(SALTS)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(np.zeros(len(often), np.int32)), pa.nulls(len(often), pa.int64())], names=["key", "salt", "id"])
             for at in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(i[at : at + 100_000])], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (k, salt, i)], names=["key", "salt", "id"])
 
         for b in slices(batches):
             lines = _visible(b.column(0).to_pylist())
@@ -143,7 +154,7 @@ def buckets(docs: DataFrame) -> DataFrame:
 
     def meet(batches, most=200_000):
         claim("lines")
-        held_k, held_i, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
+        held_k, held_i, hot, known = np.empty(0, np.int64), np.empty(0, np.int64), None, set()
 
         def batch(group, ids):
             return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(ids, pa.int64())], names=["group", "id"])
@@ -156,7 +167,17 @@ def buckets(docs: DataFrame) -> DataFrame:
             return batch(np.repeat(name, size)[many], i[many])
 
         for b in batches:
-            k, i = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(b):
+                continue
+            key, salt, ids = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            mark = ids.is_null().to_numpy(zero_copy_only=False)  # marks come first among the rows of their keys
+            known.update(key[mark].tolist())
+            ids = ids.fill_null(0).to_numpy()
+            pass_on = ~mark & ((salt > 0) | np.isin(key, np.array(list(known), np.int64)))
+            if pass_on.any():
+                yield batch(key[pass_on], ids[pass_on])
+            known &= {int(key[-1])}
+            k, i = key[~mark & ~pass_on], ids[~mark & ~pass_on]
             if hot is not None and len(k):
                 n = int(np.searchsorted(k != hot, True)) if (k != hot).any() else len(k)
                 if n:
@@ -180,8 +201,8 @@ def buckets(docs: DataFrame) -> DataFrame:
         if len(held_k):
             yield closed(held_k, held_i)
 
-    signed = docs.select("text").mapInArrow(sign, "key long, id long")
-    return signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "group long, id long").distinct()
+    signed = docs.select("text").mapInArrow(sign, "key long, salt int, id long")
+    return signed.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(meet, "group long, id long").distinct()
 
 
 def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -228,17 +249,15 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", by_t
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the lines that aren't kept; documents that had lines and lose all of them go."""
-    from pyspark.sql import Window
-
+    of, row, lost, left = fresh_names(df, "of", "row", "lost", "left")
     per = line_components(df, key, text, by_text=True)
-    gone = settled(per.where("not kept").groupBy(F.col("doc_id").alias("__of"), F.col("row").alias("__row")).agg(F.collect_set("line_no").alias("__gone")))
-    d = df.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__row")), "left")
-    parts = F.split(F.col(text), "\n")
-    left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
-    d = d.withColumn("__left", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-    d = d.where(F.col("__gone").isNull() | (F.length(F.translate("__left", _BLANK + "\n", "")) > 0))
-    d = d.withColumn("__n", F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1)))).where((F.col("__n") == 1) | F.col(key).isNull())
-    cols = [F.col("__left").alias(c) if c == text else F.length("__left").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
+    df = without_repeats(df, key, text)
+    gone = settled(per.where("not kept").groupBy(F.col("doc_id").alias(of), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(lost)))
+    d = df.join(gone, F.col(key).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(F.col(text).cast("string")) == F.col(row)), "left")
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(lost), i.cast("long")))
+    d = d.withColumn(left, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")))
+    d = d.where(F.col(lost).isNull() | (F.length(F.translate(left, _BLANK + "\n", "")) > 0))
+    cols = [F.col(left).alias(c) if c == text else F.length(left).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
     return d.select(*cols)
 
 

@@ -1,27 +1,38 @@
 """Operator 10: exact n-gram Jaccard self-join by PartEnum signatures.
 
 A document's set holds the hashes of its distinct 5-word shingles.  Sizes fall
-into bands whose ends are 5/4 apart; two sets at Jaccard 4/5 or more lie in one
+into bands whose ends are (5/4)^2 apart; two sets at Jaccard 4/5 or more lie in one
 band or in neighbouring ones, and each set signs for its own band and, if it can
 link with a set there, for the next.
+
 For a band, the feature domain (64-bit hashes) is cut into n partitions of equal
-width.  Two sets that link differ in at most k features, so all partitions but k
-hold the same features in both; a signature names a partition and what a set has
-there.  Partitions empty in both don't count: n is chosen so that a set's filled
-partitions outnumber k, then two linked sets share a filled one.  The few sets for
-which that fails sign again under other hashes, and in the end under one common
-signature, so no pair can be missed.
+width and each of these into ``SUB`` = 3 parts.  Two sets that link differ in at most
+k features, so of any k // 2 + 1 partitions one holds at most one difference, and
+there the subset of SUB - 1 parts without it is the same in both.  A signature is a
+partition, one of its subsets and what a set has in it; all subsets are enumerated.
+Subsets that are empty, or lie wholly in frequent passages, don't sign: a partition
+counts (is *good*) if two of its parts hold something else, since then all its
+subsets sign.  A set signs for partitions in order until k // 2 + 1 of them were
+good.  Of two linked sets take the one that stops first: its good partitions are
+signed for by both, so they share a signature.  The few sets that run out of
+partitions sign again without regard to frequency, then under other hashes, and in
+the end under one common signature, so no pair can be missed.
 
 Equal sets are one class, so copies aren't compared with each other.  Signatures
 that meet within a task become star edges before the shuffle, so a frequent one
-crosses it once a task; the rest is sorted by signature and read as a stream.
-Candidate components are verified in blocks (``verify``), exactly, and the links
-found are joined by union-find.  Classes are told apart by 128-bit fingerprints;
-union-find nodes have 64 bits.
+crosses it once a flush; the rest is sorted by signature and read as a stream.  The
+components of these edges are compared exactly, in blocks (``verify``): a component
+of at most a block whole, a larger one either whole or signature by signature,
+whichever has fewer pairs; then a pair counts under the least signature that it
+shares.  The links found are joined by union-find.  Classes are told apart by 128-bit
+fingerprints; union-find nodes have 64 bits.
 
 Defined cases: null, empty or blank text has the empty set: no links, a component
 of its own; a null doc_id is counted as any other document, its component being
-the least id known in the group; repeated rows count as documents of their own.
+the least id known in the group; repeated rows count as documents of their own;
+very long texts are taken whole; ties (equal ids in a group) change nothing but
+which of the rows ``keep_one`` keeps; an empty table gives no rows; other columns are
+ignored by ``ngram_join`` and pass through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +44,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _CLEAR, BITS, U64, bitmap, byte_slices, claim, mix, odd, release, settled, table, windows, word_grid
+from .common import _CLEAR, BITS, U64, bitmap, byte_slices, claim, fresh_names, mix, odd, release, settled, table, windows, without_repeats, word_grid
 from .components import components
-from .verify import cells, links
+from .verify import BLOCK, cells, links
 
 SHINGLE, NUM, DEN = 5, 80, 100
-LEVELS = 8
+LEVELS, SUB = 8, 3
 SQL = {
     "op10_ngram_join": """
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
@@ -96,7 +107,7 @@ def bands(num: int, den: int, size: int) -> tuple[tuple[int, int], ...]:
     """Bands (least, largest size) up to the one after that of size."""
     out, low = [], 1
     while len(out) < 2 or out[-2][0] <= size and out[-2][1] < size or out[-1][0] <= size:
-        out.append((low, low * den // num))
+        out.append((low, low * den * den // (num * num)))
         low = out[-1][1] + 1
     return tuple(out)
 
@@ -108,25 +119,24 @@ def _most(x: int, low: int, high: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=None)
 def _partitions(t: int, low: int, high: int, before: int, num: int, den: int) -> int:
-    """Partitions of band t: enough that sets of its sizes fill more than k but with a chance of a few in a thousand."""
+    """Partitions of band t: enough that sets of its sizes find their number of good ones but with a chance of a few in a thousand."""
     need = 1
-    for x in {low, (low + high) // 2, high}:
-        k = _most(x, before, high, num, den)
-        n = max(need, k + 1 + k // 4)
-        while True:
-            lam = x / n
-            filled = n * (1 - (1 - 1 / n) ** x)
-            sd = (n * np.exp(-lam) * max(0.0, 1 - (1 + lam) * np.exp(-lam))) ** 0.5
-            if filled - 2.7 * sd > k or n > 3 * k + 8:
+    for x in {max(1, -(-num * low // den)), low, (low + high) // 2, high}:
+        goal = _most(x, before if x >= low else low, high, num, den) // 2 + 1
+        n = max(need, goal)
+        while n < 3 * goal + 8:
+            empty = (1 - 1 / (SUB * n)) ** x
+            good = 1 - 3 * empty**2 * (1 - empty) - empty**3
+            if n * good - 2.7 * (n * good * (1 - good)) ** 0.5 >= goal:
                 break
             n += 1
         need = max(need, n)
     return need
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def scheme(x: int, num: int = NUM, den: int = DEN) -> tuple[tuple[int, int, int], ...]:
-    """(band, partitions, k) for which a set of size x signs."""
+    """(band, partitions, good partitions that are enough) for which a set of size x signs."""
     b, out = bands(num, den, x), []
     own = next(t for t, (low, high) in enumerate(b) if low <= x <= high)
     for t in (own, own + 1):
@@ -134,39 +144,68 @@ def scheme(x: int, num: int = NUM, den: int = DEN) -> tuple[tuple[int, int, int]
         before = b[t - 1][0] if t else low
         k = _most(x, before if t == own else low, high, num, den)
         if k > 0:
-            out.append((t, _partitions(t, low, high, before, num, den), k))
+            out.append((t, _partitions(t, low, high, before, num, den), k // 2 + 1))
     return tuple(out)
 
 
-_CLEAR.append(scheme.cache_clear)
+def _forget() -> None:
+    for f in (bands, _partitions, scheme):
+        f.cache_clear()
+
+
+_CLEAR.append(_forget)
 _C = odd(8, 3)
 
 
-def signatures(items: np.ndarray, hot: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The signatures of a set; hot: for each feature, whether its slot is a frequent one."""
-    out = []
-    if not len(items):
-        return np.empty(0, U64)
-    for t, n, k in scheme(len(items), num, den):
-        own, often = items, hot
+def signed(flat: np.ndarray, bounds: np.ndarray, hot: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of sets (sorted features, one set after the other) and the set of each; hot: for each feature, whether its slot is a frequent one."""
+    size = np.diff(bounds)
+    kinds, of = np.unique(size, return_inverse=True)
+    known = [scheme(int(x), num, den) if x else () for x in kinds]
+    out, rows = [np.empty(0, U64)], [np.empty(0, np.int64)]
+    for role in (0, 1):
+        band, parts, goal = (np.array([x[role][i] if len(x) > role else 0 for x in known], np.int64)[of] for i in range(3))
+        active = np.flatnonzero(parts)
         for level in range(LEVELS):
-            if level:
-                other = mix(items ^ (_C[level % 8] + U64(level)))
-                order = np.argsort(other)
-                own, often = other[order], None if hot is None else hot[order]
-            part = ((own >> U64(11)).astype(np.float64) * (n / 2.0**53)).astype(np.int64)
-            starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-            sums = np.add.reduceat(mix(own ^ _C[0]), starts)
-            sig = mix(sums + part[starts].astype(U64) * _C[1] + mix(np.array([t * LEVELS + level], U64))[0])
-            if len(starts) > k + 1:
-                last = U64(0) if often is None else np.minimum.reduceat(often, starts).astype(U64) << U64(63)
-                sig = sig[np.argpartition(sig >> U64(1) | last, k)[: k + 1]]
-            out.append(sig)
-            if len(starts) > k:
+            if not len(active):
                 break
-        else:
-            out.append(mix(np.array([t], U64) * _C[3]))
-    return np.concatenate(out) if out else np.empty(0, U64)
+            chosen = np.zeros(len(size), bool)
+            chosen[active] = True
+            mask = np.repeat(chosen, size)
+            own, row = flat[mask], np.repeat(active, size[active])
+            seen = ~hot[mask].astype(bool) if hot is not None and not level else np.ones(len(own), bool)
+            if level > 1:
+                own = mix(own ^ (_C[level % 8] + U64(level)))
+                own = own[np.lexsort((own, row))]
+            wide = SUB * parts[row]
+            cell = np.minimum(((own >> U64(11)).astype(np.float64) * (wide / 2.0**53)).astype(np.int64), wide - 1)
+            at = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (row[1:] != row[:-1])]))
+            sums, live = np.add.reduceat(mix(own ^ _C[0]), at), np.logical_or.reduceat(seen, at)
+            row, part, sub = row[at], cell[at] // SUB, cell[at] % SUB
+            new = np.concatenate([[True], (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
+            which = np.cumsum(new) - 1
+            row, part = row[new], part[new]
+            held, alive = np.zeros((len(row), SUB), U64), np.zeros((len(row), SUB), bool)
+            held[which, sub], alive[which, sub] = sums, live
+            good = alive.sum(axis=1) > 1
+            total = np.cumsum(good)
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            start = np.repeat(total[first] - good[first], np.diff(np.append(first, len(row))))
+            signs = (total - good - start < goal[row])[:, None] & (alive.sum(axis=1)[:, None] > alive)
+            salt = mix(band[row].astype(U64) * U64(LEVELS) + U64(level)) + part.astype(U64) * _C[1]
+            every = mix((held.sum(axis=1, dtype=U64)[:, None] - held) + salt[:, None] + np.arange(SUB, dtype=U64) * _C[2])
+            out.append(every[signs])
+            rows.append(np.repeat(row, SUB).reshape(-1, SUB)[signs])
+            found = np.add.reduceat(good.astype(np.int64), first)
+            active = row[first][found < goal[row[first]]]
+        out.append(mix(band[active].astype(U64) * _C[3]))
+        rows.append(active)
+    return np.concatenate(out), np.concatenate(rows)
+
+
+def signatures(items: np.ndarray, hot: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """The signatures of one set."""
+    return signed(items, np.array([0, len(items)]), hot, num, den)[0]
 
 
 SLOTS = 23  # bits of the table of feature counts that a task keeps
@@ -177,7 +216,7 @@ def slots(items: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """docs: (doc_id, text). Per row: doc_id, n_shingles, and the set's fingerprint (f1, f2); and the frequent slots (a bitmap of 2 ** SLOTS bits).
+    """docs: (doc_id, text, row). Per row: doc_id, row, n_shingles, and the set's fingerprint (f1, f2); and the frequent slots (a bitmap of 2 ** SLOTS bits).
 
     A slot is frequent where some task counts far more documents in it than evenly
     spread features would put there.
@@ -196,18 +235,33 @@ def marks(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             own = flat[np.repeat(first, n)]
             np.add.at(count, slots(own), 1)
             total += len(own)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, none), pa.array(f1), pa.array(f2), pa.nulls(len(n), none)], names=["doc_id", "n_shingles", "f1", "f2", "slot"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, none), pa.array(f1), pa.array(f2), pa.nulls(len(n), none)], names=["doc_id", "row", "n_shingles", "f1", "f2", "slot"])
         mean = total / len(count)
         often = np.flatnonzero(count > 4 + mean + 6 * mean**0.5)
         for at in range(0, len(often), 50_000):
             part = pa.array(often[at : at + 50_000], none)
             gone = pa.nulls(len(part), none)
-            yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, part], names=["doc_id", "n_shingles", "f1", "f2", "slot"])
+            yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, gone, part], names=["doc_id", "row", "n_shingles", "f1", "f2", "slot"])
 
-    both = settled(docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, slot long"))
+    both = settled(docs.mapInArrow(run, "doc_id long, row long, n_shingles long, f1 long, f2 long, slot long"))
     return both.where("slot is null").drop("slot"), bitmap(both.where("slot is not null"), F.col("slot"), 1 << SLOTS)
 
 
+def frequent_slots(flat: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    at = slots(flat)
+    return (mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(np.uint8)
+
+
+def _once(flat: np.ndarray, bounds: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sets, their bounds and first fingerprints."""
+    order = np.lexsort((f2, f1))
+    new = np.concatenate([[True], (f1[order][1:] != f1[order][:-1]) | (f2[order][1:] != f2[order][:-1])]) if len(f1) else np.empty(0, bool)
+    keep = np.zeros(len(f1), bool)
+    keep[order[new]] = True
+    size = np.diff(bounds)
+    return flat[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]), f1[keep]
+
+
 def _stars(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by (sig, who): positions of the first row of each signature, and the star edges within them."""
     first = np.concatenate([[True], sig[1:] != sig[:-1]])
@@ -241,17 +295,13 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, num: int = NUM, den:
         mask = np.frombuffer(bits.value, np.uint64)
         for batch in byte_slices(batches, 0):
             flat, bounds = shingle_sets(batch.column(0))
-            at = slots(flat)
-            hot = (mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(np.uint8)
             f1, f2 = fingerprints(flat, bounds)
-            _, once = np.unique(np.stack([f1, f2], axis=1), axis=0, return_index=True)
-            for k in once.tolist():
-                s = signatures(flat[bounds[k] : bounds[k + 1]], hot[bounds[k] : bounds[k + 1]], num, den)
-                if len(s):
-                    sigs.append(s)
-                    ids.append(np.full(len(s), f1[k], np.int64))
-                    held += len(s)
-            if held > 1_000_000:
+            flat, bounds, f1 = _once(flat, bounds, f1, f2)
+            sig, of = signed(flat, bounds, frequent_slots(flat, mask), num, den)
+            sigs.append(sig)
+            ids.append(f1[of])
+            held += len(sig)
+            if held > 500_000:
                 yield from flush()
                 sigs, ids, held = [], [], 0
         if held:
@@ -277,8 +327,8 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, num: int = NUM, den:
             pairs = np.unique(np.stack([np.concatenate(x), np.concatenate(y)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
-    signed = docs.select("text").mapInArrow(sign, "key long, a long, b long")
-    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    rows = docs.select("text").mapInArrow(sign, "key long, a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
 def _place(key: Column) -> Column:
@@ -304,26 +354,71 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", _place(F.col("doc_id")).alias("at")).mapInArrow(run, "doc_id long, f1 long, f2 long, text string")
 
 
-def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row of df: doc_id, n_shingles, n_similar, component_id."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def by_signature(large: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """large: (group, id, text). (group, key, id): each signature of the sets of large components."""
+    bits = large.sparkSession.sparkContext.broadcast(frequent.tobytes())
+
+    def run(batches):
+        claim("shingles")
+        mask = np.frombuffer(bits.value, np.uint64)
+        for b in byte_slices(batches, 2):
+            flat, bounds = shingle_sets(b.column(2))
+            sig, of = signed(flat, bounds, frequent_slots(flat, mask), num, den)
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(sig.view(np.int64)), b.column(1).take(at)], names=["group", "key", "id"])
+
+    return large.select("group", "id", "text").mapInArrow(run, "group long, key long, id long")
+
+
+def compared(members: DataFrame, texts: DataFrame, frequent: np.ndarray, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """(id, n, root) of links inside candidate components (see ``verify.links``); members: (group, id, f2, rep, weight), texts: (id, f2, doc_id, text)."""
+
+    def texted(rows: DataFrame) -> DataFrame:
+        r = rows.withColumnRenamed("id", "m").withColumnRenamed("f2", "mf")
+        return r.join(texts, (F.col("m") == F.col("id")) & (F.col("mf") == F.col("f2")) & F.col("rep").eqNullSafe(F.col("doc_id"))).drop("m", "mf", "rep", "doc_id")
+
+    large = settled(members.groupBy("group").count().where(F.col("count") > block))
+    if large.isEmpty():
+        return settled(links(texted(cells(members, block=block)), shingle_sets, num, den))
+    big = members.join(large.select("group"), "group", "left_semi")
+    signed_rows = settled(by_signature(texted(big), frequent, num, den))
+    pairs = signed_rows.groupBy("group", "key").agg(F.count("*").cast("double").alias("c")).where("c > 1").groupBy("group").agg(F.sum(F.col("c") * F.col("c")).alias("cost"))
+    sparse = settled(large.join(pairs, "group").where(F.col("cost") < F.col("count").cast("double") * F.col("count")).select("group"))
+    whole = settled(links(texted(cells(members.join(sparse, "group", "left_anti"), block=block)), shingle_sets, num, den))
+    own = signed_rows.join(sparse, "group", "left_semi").select("key", "id").distinct()
+    shared = own.groupBy("key").count().where(F.col("count") > 1).select("key")
+    own = own.join(shared, "key", "left_semi").join(big.drop("group"), "id").withColumnRenamed("key", "group")
+    bits = members.sparkSession.sparkContext.broadcast(frequent.tobytes())
+
+    def signs(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return signed(flat, bounds, frequent_slots(flat, np.frombuffer(bits.value, np.uint64)), num, den)
+
+    return whole.unionByName(settled(links(texted(cells(own, block=block)), shingle_sets, num, den, signs)))
+
+
+def _judged(df: DataFrame, key: str, text: str, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Per row of df: doc_id, row (a hash of the text), n_shingles, n_similar, component_id, and component, which tells groups apart (null without words)."""
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     m, frequent = marks(docs)
     classes = m.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     groups = settled(components(candidate_edges(docs, frequent, num, den)))
     release(df.sparkSession)
     members = settled(classes.join(groups, F.col("f1") == F.col("node")).select(F.col("component").alias("group"), F.col("f1").alias("id"), "f2", "rep", "weight"))
     texts = texts_of(docs, bitmap(members, _place(F.col("rep")))).withColumnRenamed("f1", "id")
-    placed = cells(members.withColumnRenamed("weight", "w"))
-    placed = placed.join(texts, (placed["id"] == texts["id"]) & (placed["f2"] == texts["f2"]) & placed["rep"].eqNullSafe(texts["doc_id"])).select("group", "i", "j", "block", placed["id"], F.col("w").alias("weight"), "text")
-    found = settled(links(placed, shingle_sets, num, den))
+    found = compared(members, texts, frequent, num, den, block)
     release(df.sparkSession)
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = classes.join(n.withColumnRenamed("id", "f1"), "f1", "left").join(joined.withColumnRenamed("node", "f1"), "f1", "left")
     per = per.withColumn("component", F.coalesce("component", "f1"))
     lowest = per.groupBy("component").agg(F.min("rep").alias("component_id"))
-    per = per.join(lowest, "component").select("f1", "f2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_similar"), "component_id")
-    return m.join(per, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    per = per.join(lowest, "component").select("f1", "f2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_similar"), "component_id", "component")
+    return m.join(per, ["f1", "f2"], "left").select("doc_id", "row", "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+
+
+def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
+    """Per row of df: doc_id, n_shingles, n_similar, component_id."""
+    return _judged(df, key, text, num, den, block).select("doc_id", "n_shingles", "n_similar", "component_id")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,12 +428,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of df but for one (the least id) of each group of linked documents; columns as they were.
 
-    Rows without words or without an id stay; of rows that are alike in id and text one stays.
+    A row is told by its id and its text, so rows that share an id but not the text fare
+    apart.  Rows without words or without an id stay; of rows that are alike in id and
+    text one stays.
     """
-    from pyspark.sql import Window
-
-    r = ngram_join(df, key, text, num, den)
-    gone = settled(r.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    left = df.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
-    n = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(F.lit(1)))
-    return left.withColumn("__n", n).where((F.col("__n") == 1) | F.col(key).isNull()).select(*df.columns)
+    at, row = fresh_names(df, "id", "row")
+    r = settled(_judged(df, key, text, num, den).where("doc_id is not null and component is not null").select("doc_id", "row", "component", "n_similar"))
+    linked = r.where("n_similar > 0")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = settled(linked.join(first, "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("row") != F.col("first.row"))).select(F.col("doc_id").alias(at), F.col("row").alias(row)).distinct())
+    df = without_repeats(df, key, text)
+    return df.join(gone, (F.col(key).cast("long") == F.col(at)) & (F.xxhash64(F.col(text).cast("string")) == F.col(row)), "left_anti")

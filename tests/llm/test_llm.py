@@ -271,11 +271,46 @@ def test_keep_one_and_edges(spark):
     null_ids = docs(spark, ["a b c d e f", "a b c d e f", "q r s t u v"], [None, 3, None])
     rows = ngram_join.ngram_join(null_ids).collect()
     assert sorted((r.doc_id or -1, r.n_similar, r.component_id or -1) for r in rows) == [(-1, 0, -1), (-1, 1, 3), (3, 1, 3)]
+    shared = docs(spark, ["a b c d e f", "a b c d e f", "q r s t u v"], [1, 2, 2]).withColumn("__id", F.lit("x")).withColumn("__row", F.lit(1)).withColumn("__n", F.lit(2))
+    left = ngram_join.keep_one(shared)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "a b c d e f"), (2, "q r s t u v")] and left.columns == shared.columns
     twice = docs(spark, ["a b c d e f"] * 2, [4, 4])
     assert [r.n_similar for r in ngram_join.ngram_join(twice).collect()] == [1, 1] and ngram_join.keep_one(twice).count() == 1
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
 
 
+def chained(seed=4, n=60):
+    """Texts of which each shares a half with the one before, so that candidates form a chain, with some near copies."""
+    rng, out, last = random.Random(seed), [], sentence(random.Random(1), 100).split()
+    for i in range(n):
+        new = last[50:] + sentence(rng, 50).split()
+        out.append(" ".join(new))
+        if i % 7 == 0:
+            out.append(" ".join([*new[:60], "changed", *new[61:]]))
+        last = new
+    return out
+
+
+@pytest.mark.parametrize("texts", [chained(), near_copies(5, families=3, noise=3)])
+def test_ngram_join_of_large_components(spark, texts):
+    """Components larger than a block are compared whole or by signatures; the result is the same."""
+    got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.ngram_join(docs(spark, texts).repartition(3), block=4).collect()}
+    assert got == brute_join(texts)
+
+
+def test_chain_is_compared_by_signatures(spark):
+    """A long chain of weak candidates isn't compared as one group: the pairs verified grow with the chain, not with its square."""
+    texts = chained(6, 240)
+    d = docs(spark, texts).select("doc_id", "text", F.xxhash64("text").alias("row"))
+    m, frequent = ngram_join.marks(d)
+    edges = ngram_join.candidate_edges(d.repartition(4), frequent)
+    groups = components.components(edges)
+    most = groups.groupBy("component").count().agg(F.max("count")).first()[0]
+    t = d.select(F.lit(0).cast("long").alias("group"), F.col("doc_id").alias("id"), "text")
+    pairs = ngram_join.by_signature(t, frequent, 80, 100).groupBy("key").count().where("count > 1").selectExpr("sum(count * count)").first()[0] or 0
+    assert most > 20 and pairs < 60 * len(texts)
+
+
 def test_signatures_meet():
     """Sets at the threshold share a signature, whatever is frequent."""
     rng = np.random.default_rng(10)
@@ -353,6 +388,25 @@ def test_line_dedup_of_shared_and_null_ids(spark):
         assert texts[1] in got and (first is None or "copied from elsewhere" in got)
 
 
+def test_hot_band_keys_are_spread(spark):
+    """Spread or not, a bucket has the same members under one name."""
+    rng = random.Random(17)
+    base = sentence(rng, 30)
+    texts = [base + f" {i}" for i in range(60)] + [sentence(rng, 12) for _ in range(40)] + [f"{base} {i}" for i in range(30, 90)]
+    d = docs(spark, texts).select("text").repartition(3)
+
+    def groups(most):
+        by = collections.defaultdict(set)
+        for r in line_dedup.buckets(d, most).collect():
+            by[r.group].add(r.id)
+        return {frozenset(x) for x in by.values()}
+
+    assert groups(5) == groups(10**9) and max(map(len, groups(5))) >= 90
+    clash = docs(spark, ["same line here\nfirst", "same line here\nsecond"]).withColumn("__of", F.lit(1)).withColumn("__row", F.lit("r")).withColumn("__lost", F.lit(2)).withColumn("__Left", F.lit(3)).withColumn("__n", F.lit(4))
+    got = line_dedup.dedup_lines(clash)
+    assert got.columns == clash.columns and {r.text for r in got.collect()} == {"same line here\nfirst", "second"}
+
+
 # -- 4 ------------------------------------------------------------------------
 def test_ann_recall_and_edges(spark, sf):
     base = table(spark, sf, "embeddings")
