@@ -11,9 +11,15 @@ number of strata that have labels enough to show anything (``able``), so with
 probability 1 - miss no stratum loses more than ``risk`` of its good documents to the
 learned rules.  A stratum with too few labels gets no cutoff and keeps everything.
 
+Only distinct texts are trials of the bound: label rows of one document count once, and
+so do labelled documents of one stratum with the same text (good, if any label says so,
+which can only make the bound stricter), since copies aren't independent.
+
 Defined cases: null text has no words (and fails the base); null stratum is the
-stratum ''; null keys or labels don't take part in fitting; repeated rows count as
-often as they occur; an empty table gives an empty result.
+stratum ''; strata of any type go by Spark's cast to string; null keys or labels don't
+take part in fitting; rows that repeat give repeated rows; very long texts are counted
+whole; a score equal to a cutoff passes; an empty table gives an empty result; other
+columns pass through ``keep_good`` whatever their names and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -23,10 +29,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import claim, settled, slices, table, windows
+from .common import claim, fresh_names, settled, slices, table, windows
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 #: Scores: the share of symbols, of repeated lines, of words in repeated windows, of capitals; and characters a word.
@@ -74,7 +81,7 @@ def base_failed(f):
 
 
 def features(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Per row: key, stratum, COUNTS, base_failed and the index of each score in its grid (how many cutoffs it exceeds)."""
+    """Per row: key, stratum, row (a hash of the text), COUNTS, base_failed and the index of each score in its grid (how many cutoffs it exceeds)."""
 
     def run(batches):
         claim("quality")
@@ -82,16 +89,21 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: st
             yield _counted(b)
 
     kinds = ", ".join([f"{c} long" for c in COUNTS] + ["base_failed boolean"] + [f"b_{r} int" for r in RULES])
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id long, stratum string, {kinds}")
+    own = F.col(text).cast("string")
+    return df.select(F.col(key).cast("long").alias("doc_id"), _stratum(stratum).alias("stratum"), F.xxhash64(own).alias("row"), own.alias("text")).mapInArrow(run, f"doc_id long, stratum string, row long, {kinds}")
+
+
+def _stratum(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def _counted(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Of (key, stratum, text)."""
-    f = pd.DataFrame([counts(t) for t in b.column(2).to_pylist()], columns=COUNTS)
+    """Of (key, stratum, row, text)."""
+    f = pd.DataFrame([counts(t) for t in b.column(3).to_pylist()], columns=COUNTS)
     s = scores(f)
     over = [np.searchsorted(GRID[r], s[r].to_numpy(), side="left") for r in RULES]
-    cols = [b.column(0), b.column(1), *(pa.array(f[c], pa.int64()) for c in COUNTS), pa.array(base_failed(f), pa.bool_()), *(pa.array(o, pa.int32()) for o in over)]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "stratum", *COUNTS, "base_failed", *(f"b_{r}" for r in RULES)])
+    cols = [b.column(0), b.column(1), b.column(2), *(pa.array(f[c], pa.int64()) for c in COUNTS), pa.array(base_failed(f), pa.bool_()), *(pa.array(o, pa.int32()) for o in over)]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "stratum", "row", *COUNTS, "base_failed", *(f"b_{r}" for r in RULES)])
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -148,13 +160,16 @@ def sequence(bins: np.ndarray, junk: np.ndarray, other: np.ndarray) -> list[list
 def fit(feats: DataFrame, labels: DataFrame, risk: float = 0.01, miss: float = 0.05, key: str = "doc_id", good: str = "quality") -> DataFrame:
     """Cutoffs: (stratum, rule, cut), a document failing a rule if its index in the grid is above cut.
 
-    All rows that pass the base rules count; what moves is the joint histogram of the
+    feats: what ``features`` gives.  All rows that pass the base rules count; what moves is the joint histogram of the
     rules' grids in each stratum (some 50,000 cells at most), combined before the shuffle.
     """
-    marked = labels.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.sum((F.col(good) == 1).cast("long")).alias("g"), F.sum((F.col(good) == 0).cast("long")).alias("j")).where("doc_id is not null")
-    clean = feats.where(~F.col("base_failed")).join(marked, "doc_id", "left").fillna(0, ["g", "j"])
+    marked = labels.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max((F.col(good) == 1).cast("int")).alias("g"), F.max((F.col(good) == 0).cast("int")).alias("j")).where("doc_id is not null and (g = 1 or j = 1)")
     bins = [f"b_{r}" for r in RULES]
-    seen = settled(clean.groupBy("stratum", *bins).agg(F.sum("g").alias("good"), F.sum(F.when(F.col("g") == 0, F.col("j")).otherwise(0)).alias("junk"), F.sum(((F.col("g") == 0) & (F.col("j") == 0)).cast("long")).alias("other")))
+    clean = feats.where(~F.col("base_failed")).join(marked, "doc_id", "left")
+    trials = clean.where("g is not null").groupBy("stratum", "row", *bins).agg(F.max("g").alias("g"))
+    trials = trials.groupBy("stratum", *bins).agg(F.sum("g").cast("long").alias("good"), F.sum(1 - F.col("g")).cast("long").alias("junk"), F.lit(0).cast("long").alias("other"))
+    rest = clean.where("g is null").groupBy("stratum", *bins).agg(F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("junk"), F.count("*").alias("other"))
+    seen = settled(trials.unionByName(rest).groupBy("stratum", *bins).agg(*(F.sum(c).alias(c) for c in ("good", "junk", "other"))))
     strata = seen.groupBy("stratum").agg(F.sum("good").alias("n")).where("n > 0").groupBy("n").count().collect()
     level = miss / max(1, able([(r["n"], r["count"]) for r in strata], risk, miss))
 
@@ -173,12 +188,15 @@ def fit(feats: DataFrame, labels: DataFrame, risk: float = 0.01, miss: float = 0
     return seen.groupBy("stratum").applyInArrow(choose, "stratum string, rule string, cut int")
 
 
-def cutoffs(chosen: DataFrame, most_strata: int = 100_000) -> dict[str, list[int]]:
+MOST_STRATA = 100_000
+
+
+def cutoffs(chosen: DataFrame, most_strata: int = MOST_STRATA) -> dict[str, list[int]]:
     """Fitted cutoffs on the driver, one row a stratum and at most len(RULES) numbers in it; refused beyond a checked size."""
     n = 1 << 30
     rows = chosen.limit(most_strata * len(RULES) + 1).collect()
     if len(rows) > most_strata * len(RULES):
-        raise ValueError("too many strata for a table on the driver; use verdicts()")
+        raise ValueError("too many strata for a table on the driver; keep_good() and verdicts() take the fitted rows themselves")
     out: dict[str, list[int]] = {}
     for r in rows:
         out.setdefault(r.stratum, [n] * len(RULES))[RULES.index(r.rule)] = r.cut
@@ -195,20 +213,52 @@ def verdicts(feats: DataFrame, chosen: DataFrame) -> DataFrame:
     return feats.join(wide, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~bad).drop(*(f"c_{r}" for r in RULES))
 
 
-def keep_good(df: DataFrame, cuts: dict[str, list[int]], text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of df that pass; columns as they were, nothing is shuffled."""
-    at, by = df.columns.index(text), df.columns.index(stratum)
+def keep_good(df: DataFrame, cuts: dict[str, list[int]] | DataFrame, text: str = "text", stratum: str = "lang", most_strata: int = MOST_STRATA) -> DataFrame:
+    """The rows of df that pass; columns as they were.
+
+    cuts: from ``cutoffs``, or the fitted rows: these go with the function where they are
+    of at most ``most_strata`` strata, so that no text is shuffled, and are joined by
+    stratum where they are more.
+    """
+    names = df.columns
+    if isinstance(cuts, DataFrame):
+        if cuts.limit(most_strata * len(RULES) + 1).count() > most_strata * len(RULES):
+            return _keep_joined(df, cuts, text, stratum)
+        cuts = cutoffs(cuts, most_strata)
+    own, by = fresh_names(df, "text", "stratum")
 
     def run(batches):
         claim("quality")
         for b in slices(batches):
-            s = pa.array(["" if x is None else str(x) for x in b.column(by).to_pylist()], pa.string())
-            f = _counted(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), s, b.column(at)], names=["a", "b", "c"])).to_pandas()
+            n = b.num_columns
+            f = _counted(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(n - 1), pa.nulls(b.num_rows, pa.int64()), b.column(n - 2)], names=["a", "b", "c", "d"])).to_pandas()
             limit = np.array([cuts.get(x, [1 << 30] * len(RULES)) for x in f.stratum]).reshape(-1, len(RULES))
             bad = (f[[f"b_{r}" for r in RULES]].to_numpy() > limit).any(axis=1) | f.base_failed.to_numpy()
-            yield b.filter(pa.array(~bad))
+            kept = b.filter(pa.array(~bad))
+            yield pa.RecordBatch.from_arrays(kept.columns[: n - 2], names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.withColumn(own, F.col(text).cast("string")).withColumn(by, _stratum(stratum)).mapInArrow(run, df.schema)
+
+
+def _keep_joined(df: DataFrame, chosen: DataFrame, text: str, stratum: str) -> DataFrame:
+    own, by, failed, *over = fresh_names(df, "text", "stratum", "failed", *RULES)
+
+    def run(batches):
+        claim("quality")
+        for b in slices(batches):
+            n = b.num_columns
+            f = _counted(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(n - 1), pa.nulls(b.num_rows, pa.int64()), b.column(n - 2)], names=["a", "b", "c", "d"]))
+            yield pa.RecordBatch.from_arrays([*b.columns[: n - 2], b.column(n - 1), *f.columns[-len(RULES) - 1 :]], names=[*b.schema.names[: n - 2], by, failed, *over])
+
+    kinds = T.StructType([*df.schema.fields, T.StructField(by, T.StringType()), T.StructField(failed, T.BooleanType()), *(T.StructField(c, T.IntegerType()) for c in over)])
+    d = df.withColumn(own, F.col(text).cast("string")).withColumn(by, _stratum(stratum)).mapInArrow(run, kinds).where(~F.col(failed))
+    limits = fresh_names(d, *(f"c_{r}" for r in RULES))
+    other = fresh_names(d, "of")[0]
+    wide = chosen.groupBy("stratum").pivot("rule", RULES).agg(F.first("cut")).select(F.col("stratum").alias(other), *(F.col(r).alias(c) for r, c in zip(RULES, limits)))
+    bad = F.lit(False)
+    for o, c in zip(over, limits):
+        bad = bad | F.coalesce(F.col(o) > F.col(c), F.lit(False))
+    return d.join(wide, F.col(by) == F.col(other), "left").where(~bad).select(*df.columns)
 
 
 def learned(docs: DataFrame, labels: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:

@@ -239,6 +239,83 @@ def test_quality_learns_from_some_hundred_labels(spark):
     assert quality.able([(630, 1), (180, 1)], 0.01, 0.05) == 1 and quality.able([(2076, 1), (507, 1), (505, 1), (321, 1)], 0.01, 0.05) == 3
 
 
+def brute_fit(rows, risk, miss):
+    """Cutoffs by definition: each set of the sequence is tested on the distinct good texts alone; rows: (stratum, text, label or None)."""
+    strata = {}
+    for s, t, y in rows:
+        c = dict(zip(quality.COUNTS, quality.counts(t)))
+        if c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]:
+            continue
+        chars, words = max(1, c["word_chars"]), max(1, c["n_words"])
+        sc = [c["n_symbols"] / chars, c["n_dup_lines"] / max(1, c["n_lines"]), c["n_repeat_words"] / words, c["n_upper"] / chars, c["word_chars"] / words]
+        at = tuple(sum(x > g for g in quality.GRID[r]) for x, r in zip(sc, quality.RULES))
+        own = strata.setdefault(s, {})
+        if y is None:
+            own.setdefault((at, None), []).append(None)
+        else:
+            own[at, t] = max(y, own.get((at, t), 0))
+    goods = {s: [k[0] for k, y in own.items() if y == 1] for s, own in strata.items()}
+    m = 0
+    for n in sorted(map(len, goods.values()), reverse=True):
+        m += (1 - risk) ** n <= miss / (m + 1)
+    out = {}
+    for s, own in strata.items():
+        cells = {}
+        for (at, _), y in own.items():
+            c = cells.setdefault(at, [0, 0])
+            if y is None or isinstance(y, list):
+                c[1] += len(y)
+            elif y == 0:
+                c[0] += 1
+        keys = sorted(cells)
+        n = len(goods[s])
+        ok = lambda k: n and k <= risk * n and sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) <= miss / max(1, m)
+        if not ok(0):
+            continue
+        for cut in quality.sequence(np.array(keys).reshape(-1, len(quality.RULES)), np.array([cells[k][0] for k in keys]), np.array([cells[k][1] for k in keys])):
+            if not ok(sum(any(a > c for a, c in zip(at, cut)) for at in goods[s])):
+                break
+            out[s] = cut
+    return {s: {r: c for r, c in zip(quality.RULES, cut) if c < len(quality.GRID[r])} for s, cut in out.items()}
+
+
+def test_fit_against_brute_force(spark):
+    rng = random.Random(28)
+    rows = []
+    for i in range(1500):
+        s = ("en", "de", None)[i % 3]
+        y = None if i % 11 == 0 else int(i % 10 > 0)
+        t = sentence(rng, 14)
+        if y == 0 or rng.random() < 0.004:
+            t = t.replace(" ", rng.choice([" ##", " %", " "])).upper() if rng.random() < 0.5 else t + "\n" + "\n".join(["same line"] * rng.randint(1, 9))
+        rows.append((s, t, y))
+    rows += [r for r in rows if r[2] == 1][:40] * 30  # copies are no further trials
+    d = spark.createDataFrame([(i, t, s, None, 0) for i, (s, t, _) in enumerate(rows)], DOC)
+    lab = [(i, y, 0) for i, (_, _, y) in enumerate(rows) if y is not None]
+    lab = spark.createDataFrame(lab + lab[:200], "doc_id long, quality int, toxic int")
+    want = brute_fit([(s or "", t, y) for s, t, y in rows], 0.02, 0.05)
+    got = collections.defaultdict(dict)
+    for r in quality.learned(d, lab, risk=0.02)[1].collect():
+        got[r.stratum][r.rule] = r.cut
+    assert got == want and want
+    feats, chosen = quality.learned(d, lab, risk=0.02)
+    kept = sorted(r.doc_id for r in quality.verdicts(feats, chosen).where("kept").collect())
+    clash = d.withColumn("__stratum", F.lit(1)).withColumn("__of", F.lit(1)).withColumn("stratum", F.lit(1))
+    for most in (100, 0):  # with the function, and joined
+        own = quality.keep_good(clash, chosen, most_strata=most)
+        assert sorted(r.doc_id for r in own.collect()) == kept and own.columns == clash.columns
+
+
+def test_strata_of_other_types(spark):
+    rng = random.Random(29)
+    rows = [(i, sentence(rng, 30).replace(" ", " " if i % 10 else " ##"), i % 2 == 0) for i in range(1600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang boolean")
+    lab = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(1600)], "doc_id long, quality int, toxic int")
+    _, chosen = quality.learned(d, lab)
+    assert {r.stratum for r in chosen.collect()} == {"true", "false"}
+    assert {r.doc_id for r in quality.keep_good(d, chosen).collect()} == {i for i in range(1600) if i % 10}
+
+
 # -- 10 -----------------------------------------------------------------------
 def brute_join(texts):
     sets = []
