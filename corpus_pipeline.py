@@ -17,7 +17,7 @@ from skeinix.runtime import ship
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or the cutoffs learned from ``labels``, go."""
     _, chosen = quality.learned(docs, table(ship(spark), sf_dir, "labels"))
-    return quality.keep_good(docs, quality.cutoffs(chosen))
+    return quality.keep_good(docs, chosen)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
