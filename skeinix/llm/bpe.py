@@ -54,7 +54,7 @@ class TrieBPE:
     changes the speed alone.
     """
 
-    def __init__(self, path: str, memo_words: int = 500_000):
+    def __init__(self, path: str, memo_words: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, chars = spec["model"], _byte_chars()

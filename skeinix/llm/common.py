@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 U64 = np.uint64
 #: Rows of text that a worker turns into Python objects at a time, and their bytes.
-SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 #: Size of a bitmap filter that goes to every task: a megabyte, whatever the data.
 BITS = 1 << 23
 
@@ -59,9 +59,13 @@ def claim(name: str) -> None:
         _HOLDER[:] = [name]
         for clear in _CLEAR:
             clear()
-        try:
-            import ctypes
+        import ctypes
+        import gc
 
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back as soon as they are free
+        try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except OSError:
             pass
