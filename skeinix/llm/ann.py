@@ -10,10 +10,12 @@ is nearer would have reached the threshold with a chance set by ``SLACK``.  If t
 never happens the windows come to hold everything, and the search is exact.
 
 The base is cut into shards of a bounded size by a hash, the queries into blocks;
-a task has one shard and one block of queries, and gives k rows a query.
+a task has one shard and one block of queries, and gives k rows a query.  A shard's
+arrays are made once a task, for up to ``BLOCK`` queries.
 
 Defined cases: null, zero, empty or not finite vectors and null ids take no part;
-only vectors of one dimension are compared; repeated rows are one; ties go to the
+only vectors of one dimension are compared; repeated rows are one; an id with several
+vectors has its best score; a query leaves out all rows of its own id; ties go to the
 smaller id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,61 +28,59 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-M, C, SLACK, SHARD, BLOCK = 128, 1.1, 2.0, 16384, 4096
+M, C, SLACK, SHARD, BLOCK = 192, 1.06, 1.0, 16384, 4096
 P1 = 0.6826894921370859  # of a normal number to lie within one standard deviation
 RESULT = "query_id long, vec_id long, score double"
 
 
 class Shard:
-    """Sorted projection arrays of a set of vectors."""
+    """Sorted projection arrays of a set of vectors; ``verified`` counts the vectors that were compared exactly."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int = M):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.verified = ids, vectors, 0
         self.norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        self.unit = vectors / self.norm[:, None]
         self.lines = np.random.default_rng(4).standard_normal((m, vectors.shape[1]))
-        p = self.lines @ self.unit.T
-        self.order = np.argsort(p, axis=1).astype(np.int32)
+        p = self.lines @ (vectors / self.norm[:, None]).T
+        self.order = np.argsort(p, axis=1)
         self.sorted = np.take_along_axis(p, self.order, axis=1)
         self.threshold = int(m * P1 - SLACK * (m * P1 * (1 - P1)) ** 0.5)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float = 0.3):
-        """(query, position) of the k nearest found, and their cosines."""
-        norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        unit = queries / norm[:, None]
-        at = self.lines @ unit.T
-        n, m = len(self.ids), len(self.lines)
-        radii = [radius * C**i for i in range(int(np.ceil(np.log(24 / radius) / np.log(C))))]
-        for q in range(len(queries)):
-            centre = at[:, q]
-            seen = np.zeros(n, np.int64)
-            tried = self.ids == query_ids[q]
-            found, score = np.empty(0, np.int64), np.empty(0)
-            low = np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre)])
-            high = low.copy()
-            for r in radii:
-                parts = []
-                for j in range(m):
-                    s, o = self.sorted[j], self.order[j]
-                    a, b = s.searchsorted(centre[j] - r), s.searchsorted(centre[j] + r, "right")
-                    if a < low[j]:
-                        parts.append(o[a : low[j]])
-                        low[j] = a
-                    if b > high[j]:
-                        parts.append(o[high[j] : b])
-                        high[j] = b
-                if parts:
-                    seen += np.bincount(np.concatenate(parts), minlength=n)
-                    new = np.flatnonzero((seen >= self.threshold) & ~tried)
-                    if len(new):
-                        tried[new] = True
-                        s = (self.vectors[new] @ queries[q]) / (self.norm[new] * norm[q])
-                        found, score = np.concatenate([found, new]), np.concatenate([score, s])
-                        best = np.lexsort((self.ids[found], -score))[:k]
-                        found, score = found[best], score[best]
-                if len(found) == k and 2 - 2 * score[-1] <= r * r or tried.all():
-                    break
-            yield q, found, score
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float = 0.25, together: int = 128):
+        """(query, positions, cosines) of the k nearest found, for each query."""
+        radii = radius * C ** np.arange(int(np.ceil(np.log(24 / radius) / np.log(C))))
+        for at in range(0, len(queries), together):
+            part = queries[at : at + together]
+            norm = np.sqrt(np.einsum("ij,ij->i", part, part))
+            centre = self.lines @ (part / norm[:, None]).T
+            # where the windows of all radii end, by line, query and radius
+            low = np.stack([s.searchsorted(c[:, None] - radii) for s, c in zip(self.sorted, centre)])
+            high = np.stack([s.searchsorted(c[:, None] + radii, "right") for s, c in zip(self.sorted, centre)])
+            for q in range(len(part)):
+                yield at + q, *self._one(query_ids[at + q], part[q], norm[q], low[:, q], high[:, q], radii, k)
+
+    def _one(self, own_id: int, query: np.ndarray, norm: float, low: np.ndarray, high: np.ndarray, radii: np.ndarray, k: int):
+        n, order = len(self.ids), self.order
+        seen, tried = np.zeros(n, np.int64), self.ids == own_id
+        found, score = np.empty(0, np.int64), np.empty(0)
+        for i, r in enumerate(radii):
+            if i:
+                parts = [o[a:b] for o, a, b in zip(order, low[:, i], low[:, i - 1]) if a < b]
+                parts += [o[a:b] for o, a, b in zip(order, high[:, i - 1], high[:, i]) if a < b]
+            else:
+                parts = [o[a:b] for o, a, b in zip(order, low[:, 0], high[:, 0]) if a < b]
+            if parts:
+                seen += np.bincount(np.concatenate(parts), minlength=n)
+                new = np.flatnonzero((seen >= self.threshold) & ~tried)
+                if len(new):
+                    tried[new] = True
+                    self.verified += len(new)
+                    s = (self.vectors[new] @ query) / (self.norm[new] * norm)
+                    found, score = np.concatenate([found, new]), np.concatenate([score, s])
+                    best = np.lexsort((self.ids[found], -score))[:k]
+                    found, score = found[best], score[best]
+            if len(found) == k and 2 - 2 * score[-1] <= r * r or tried.all():
+                break
+        return found, score
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -115,7 +115,7 @@ def nearest(base: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     cell = ["dim", "shard", "block"]
     near = b.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInArrow(run, RESULT)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

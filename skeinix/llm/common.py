@@ -126,7 +126,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             x = np.full(n, b, U64)
             x[0] = 1
@@ -141,7 +141,7 @@ def _drop_powers() -> None:
 _CLEAR.append(_drop_powers)
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a text column has about ``most`` bytes (one row at least)."""
     for b in batches:
         c = b.column(column)

@@ -301,7 +301,7 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, num: int = NUM, den:
             sigs.append(sig)
             ids.append(f1[of])
             held += len(sig)
-            if held > 500_000:
+            if held > 250_000:
                 yield from flush()
                 sigs, ids, held = [], [], 0
         if held:

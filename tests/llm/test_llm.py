@@ -510,6 +510,32 @@ def test_ann_recall_and_edges(spark, sf):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_ann_verifies_few_vectors():
+    """On clustered vectors a small share is compared exactly, and on uniform ones not most; both find what brute force finds."""
+    rng = np.random.default_rng(30)
+    centres = rng.standard_normal((60, 64))
+    for v, most in ((np.repeat(centres, 50, axis=0) + 0.3 * rng.standard_normal((3000, 64)), 0.1), (rng.standard_normal((3000, 64)), 0.3)):
+        ids = np.arange(3000)
+        shard = ann.Shard(ids, v)
+        hit, n = 0, 40
+        unit = v / np.sqrt((v * v).sum(1))[:, None]
+        for q, found, score in shard.search(ids[:: 3000 // n], v[:: 3000 // n], 5):
+            i = q * (3000 // n)
+            s = unit @ unit[i]
+            s[i] = -9
+            hit += len(set(np.argsort(-s)[:5]) & set(found))
+            assert np.allclose(score, s[found]) and i not in found
+        assert hit >= 0.9 * 5 * n
+        assert shard.verified / (3000 * n) <= most, shard.verified / (3000 * n)
+
+
+def test_ann_of_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 1.0]), (0, [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(d, d.where("vec_id = 2")).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 6)) for r in out] == [(1, 0.773957), (0, 0.707107)]
+
+
 # -- 2 ------------------------------------------------------------------------
 def test_url_rules_and_aliases(spark):
     rows = [
