@@ -1,23 +1,30 @@
 """Operator 1: licence scan of paragraphs.
 
 A softmax regression on sparse word 1- and 2-grams (those that occur in the
-templates below, and the share of other words) names a licence family or 'unknown'.
+templates below, and the number of other words) names a licence family or 'unknown'.
 It is trained here, on variants of the templates, and for the unknown class on a
-sample of at most ``SAMPLE`` paragraphs of the corpus and on scrambled templates.
-On a held-out part the logits are scaled (temperature) and the least probability
-is set that lets at most ``FALSE`` of the unknown paragraphs through; below it a
-paragraph is unknown.  What is predicted counts only if it also holds ``CONFIRM`` of
-the word pairs of a part (``PART`` pairs in a row, or all) of a template of that
-family, one pair among them that no other kind of licence has, and no less than of
-any other family.  Templates are those below and ``VERBS`` x ``NAMES``.  SPDX tags are
-read by their ids; an id of none of the families gives nothing.
-
-A paragraph is a line; a licence counts for the line that it begins in.  What is
-judged is the stretch of words round the hits of a template, over line ends up to a
-blank line, whatever stands before and after it; signs of comments don't count as
-words.  Defined cases: null or empty text has no paragraphs and
-no families; paragraphs of any length are taken whole; repeated rows give repeated
-rows; other columns are ignored; an empty table gives no rows.
+sample of at most ``SAMPLE`` stretches of the corpus, those of least hash over all
+rows, and on scrambled templates.  On a held-out part the logits are scaled
+(temperature) and the least probability is set that lets at most ``FALSE`` of the
+corpus' stretches through, but not more than ``LOST`` of the variants fall below; there a
+stretch is unknown.
+
+Every text is scored whole: ``WINDOWS`` of words slide over its blocks (up to a blank
+line), over line ends, and all windows of a batch are scored at once by running sums of
+the weights.  Where a window may hold a licence (the bound is set on held-out variants,
+so that but ``MISS`` of them pass), the templates' word pairs round it are compared:
+a prediction counts if the words also hold ``CONFIRM`` of the word pairs of a part
+(``PART`` pairs in a row, or all) of a template of that family, one pair among them that
+no other kind of licence has, and no less than of any other family.  Templates are those
+below and ``VERBS`` x ``NAMES``.  SPDX tags are read by their ids; an id of none of the
+families gives nothing.
+
+A paragraph is a line; a licence counts for the line that it begins in; signs of
+comments don't count as words.  Defined cases: null or empty text has no paragraphs and
+no families; paragraphs of any length are taken whole; of families of equal share and
+length the last in order of the alphabet is taken, of equal probabilities the first of
+``FAMILIES``; repeated rows give repeated rows; other columns are ignored; an empty table
+gives no rows (and trains on templates alone).
 """
 
 from __future__ import annotations
@@ -29,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, slices, table
+from .common import _CLEAR, U64, claim, mix, slices, table
 
-SAMPLE, FALSE, CONFIRM, PART, GAP, MIN_HITS = 3000, 0.001, 0.7, 12, 8, 2
+SAMPLE, FALSE, LOST, MISS, CONFIRM, PART, GAP = 3000, 0.001, 0.01, 0.002, 0.7, 12, 8
+#: Words of a window, and how far the next one begins.
+WINDOWS = [(8, 4), (24, 12)]
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
@@ -39,6 +48,7 @@ TEMPLATES = {
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute this library under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
@@ -62,11 +72,14 @@ NAMES = {
     "cc-by-nc": [f"{x}-NC{k} {v}" for k in ("", "-SA", "-ND") for v in ("2.0", "2.5", "3.0", "4.0") for x in ("CC BY", "CC-BY")] + [f"Creative Commons Attribution-NonCommercial{k} {v} {w} License" for k in ("", "-ShareAlike", "-NoDerivatives") for v, w in (("3.0", "Unported"), ("4.0", "International"))],
     "cc0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero"],
     "unlicense": ["Unlicense"],
+    "isc": ["ISC License", "terms of the ISC License"],
 }
+#: Names that stand between "is" or "are" and "licensed".
+SHORT = {"mit": ["MIT"], "apache-2.0": ["Apache 2.0", "Apache-2.0"], "bsd": ["BSD"], "gpl": ["GPL", "GPLv2", "GPLv3"], "lgpl": ["LGPL"], "agpl": ["AGPL"], "mpl-2.0": ["MPL 2.0"], "isc": ["ISC"], "cc0": ["CC0"]}
 _KIND, _VERSION = {"lgpl": "gpl", "agpl": "gpl", "cc0": "cc"}, re.compile(r"v?[\d.,;:]*")
 FAMILIES = [*TEMPLATES, *(f for f in NAMES if f not in TEMPLATES), "unknown"]
 #: Families of SPDX ids, by the first pattern that fits the id in small letters.
-SPDX = [(re.compile(p), f) for p, f in [(r"apache-1\.", "apache-1.1"), (r"apache-2\.0", "apache-2.0"), (r"mit($|-)", "mit"), (r"gpl-", "gpl"), (r"lgpl-", "lgpl"), (r"agpl-", "agpl"), (r"0?bsd($|-)", "bsd"), (r"mpl-1\.", "mpl-1.1"), (r"mpl-2\.", "mpl-2.0"), (r"cc-by-nc-", "cc-by-nc"), (r"cc-by-", "cc-by"), (r"cc0-", "cc0"), (r"unlicense$", "unlicense"), (r"licenseref-proprietary", "proprietary")]]
+SPDX = [(re.compile(p), f) for p, f in [(r"apache-1\.", "apache-1.1"), (r"apache-2\.0", "apache-2.0"), (r"mit($|-)", "mit"), (r"gpl-", "gpl"), (r"lgpl-", "lgpl"), (r"agpl-", "agpl"), (r"0?bsd($|-)", "bsd"), (r"mpl-1\.", "mpl-1.1"), (r"mpl-2\.", "mpl-2.0"), (r"cc-by-nc-", "cc-by-nc"), (r"cc-by-", "cc-by"), (r"cc0-", "cc0"), (r"unlicense$", "unlicense"), (r"isc$", "isc"), (r"licenseref-proprietary", "proprietary")]]
 _TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\s*<>]+(?:[ \t]+(?:and|or|with)[ \t]+[^\s*<>]+)*)", re.I)
 
 
@@ -92,6 +105,7 @@ class _Words(dict):
 
 
 _HASH = _Words()
+_CLEAR.append(_HASH.clear)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -102,6 +116,14 @@ def _bigrams(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * U64(3) + h[1:])
 
 
+def windows_of(size: np.ndarray, wide: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the windows of stretches of words that follow one another; the last of each reaches its end."""
+    n = 1 + np.maximum(0, -(-(size - wide) // step))
+    begin = np.cumsum(size) - size
+    first = np.repeat(begin, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return first, np.minimum(first + wide, np.repeat(begin + size, n))
+
+
 def _share(at: list[tuple[int, bool]], size: int) -> float:
     """The largest share of ``PART`` pairs in a row (or of all) that were found; 0 without an own pair among them."""
     hit, own = np.zeros(size), np.zeros(size)
@@ -118,6 +140,8 @@ class Scanner:
         grams, self.templates, self.forms = [], [], {f: list(TEMPLATES.get(f, [])) for f in FAMILIES[:-1]}
         for family, names in NAMES.items():
             self.forms[family] += [f"{v} {x}" for v in VERBS for x in names]
+        for family, names in SHORT.items():
+            self.forms[family] += [f"{v} {x} licensed" for v in ("is", "are") for x in names]
         hashed = [(f, _hashes(t.encode().split()), t.split()) for f, ts in self.forms.items() for t in ts]
         kinds: dict[int, set[str]] = {}
         for family, h, _ in hashed:
@@ -133,10 +157,10 @@ class Scanner:
         self.grams = np.unique(np.concatenate(grams))
         self.pairs = np.unique(np.concatenate(grams[1::2]))
         self.weights = np.zeros((len(self.grams) + 2, len(FAMILIES)))
-        self.temperature, self.least = 1.0, 0.5
+        self.temperature, self.least, self.propose = 1.0, 0.5, 0.5
 
     def vector(self, h: np.ndarray) -> np.ndarray:
-        """Counts of the known n-grams and of the other words, scaled to length one; and a constant."""
+        """Counts of the known n-grams and of the other words, over the root of the number of words; and a constant."""
         x = np.zeros(len(self.grams) + 2)
         both = np.concatenate([h, _bigrams(h)])
         at = np.searchsorted(self.grams, both)
@@ -144,7 +168,7 @@ class Scanner:
         hit = self.grams[at] == both
         np.add.at(x, at[hit], 1)
         x[-2] = (~hit[: len(h)]).sum()
-        x /= max(1.0, np.sqrt((x * x).sum()))
+        x /= max(1, len(h)) ** 0.5
         x[-1] = 1
         return x
 
@@ -168,7 +192,8 @@ class Scanner:
 
     def train(self, others: list[str], seed: int = 1) -> Scanner:
         rng = np.random.default_rng(seed)
-        filler = [w for p in others for w in p.split()[:40]] or ["lorem", "ipsum", "dolor", "amet"]
+        """others: stretches of the corpus."""
+        filler = [w for p in others for w in p.split()] or ["lorem", "ipsum", "dolor", "amet"]
         filler = np.array(filler, dtype=object)
         rows, y = [], []
         add = lambda words, label: (rows.append(self.vector(_hashes(" ".join(words).encode("utf-8", "replace").split()))), y.append(label))
@@ -188,20 +213,25 @@ class Scanner:
         unknown = len(FAMILIES) - 1
         every = np.array([w for t in TEMPLATES.values() for x in t for w in x.split()], dtype=object)
         mixed = np.concatenate([filler, every[:20]])
-        for p in others:
+        scrambled = [" ".join(rng.choice(every if rng.random() < 0.3 else mixed, rng.integers(3, 40))) for _ in range(600)]
+        real = []
+        for k, p in enumerate([*others, *scrambled]):
             h = _hashes(p.encode("utf-8", "replace").split())
             known = np.isin(_bigrams(h), self.pairs).any() if len(h) > 1 else False
             if len(h) and not (known and max(self.confirmed(h).values(), default=0.0) >= CONFIRM):
+                real += [len(rows)] * (k < len(others))
                 rows.append(self.vector(h))
                 y.append(unknown)
-        for _ in range(600):
-            add(list(rng.choice(every if rng.random() < 0.3 else mixed, rng.integers(3, 40))), unknown)
         x, y = np.array(rows), np.array(y)
         held = rng.random(len(y)) < 0.3
         self._fit(x[~held], y[~held])
         self.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: self._loss(x[held], y[held], t))
-        p = self.probabilities(x[held & (y == unknown)])[:, :-1].max(axis=1)
-        self.least = max(0.5, float(np.quantile(p, 1 - FALSE))) if len(p) else 0.5
+        p = self.probabilities(x[np.array([k for k in real if held[k]], np.int64)])[:, :-1].max(axis=1, initial=0.0)
+        right = self.probabilities(x[held & (y != unknown)])[np.arange((held & (y != unknown)).sum()), y[held & (y != unknown)]]
+        high = float(np.quantile(right, LOST)) if len(right) else 0.5  # the sample may hold parts of licences
+        self.least = max(0.5, min(high, float(np.quantile(p, 1 - FALSE)))) if len(p) else 0.5
+        known = 1 - self.probabilities(x[held & (y != unknown)])[:, -1]
+        self.propose = min(0.5, float(np.quantile(known, MISS))) if len(known) else 0.5
         return self
 
     def _loss(self, x, y, t) -> float:
@@ -221,29 +251,63 @@ class Scanner:
 
     def paragraphs(self, text: str | None):
         """(paragraphs, matches) of a text; a match: (paragraph number, family, probability, share of a template)."""
-        lines = (text or "").split("\n")
-        words = [x.encode("utf-8", "replace").split() for x in lines]
-        size = np.array([len(w) for w in words])
-        n = int((size > 0).sum())
-        out = [(k, f, 1.0, 1.0) for k, x in enumerate(lines) for f in spdx(x)] if n and "spdx-" in text.lower() else []
-        tagged = {m[0] for m in out}
+        return self.matches([text])[0]
+
+    def matches(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, str, float, float]]]]:
+        """What ``paragraphs`` gives, for each of the texts."""
+        cut = [(t or "").split("\n") for t in texts]
+        count = np.array([len(x) for x in cut])
+        top = np.cumsum(count) - count  # each text's first line
+        words = [x.encode("utf-8", "replace").split() for lines in cut for x in lines]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n = np.add.reduceat((size > 0).astype(np.int64), top) if len(top) else top
+        out: list[list] = [[(k, f, 1.0, 1.0) for k, x in enumerate(lines) for f in spdx(x)] if t and "spdx-" in t.lower() else [] for t, lines in zip(texts, cut)]
+        new = size == 0
+        new[top] = True
         h = _hashes([w for ws in words for w in ws])
-        line = np.repeat(np.arange(len(lines)), size)
-        block = np.cumsum(size == 0)[line]  # a blank line ends a block
+        line = np.repeat(np.arange(len(words)), size)
+        block = np.cumsum(new)[line]  # a blank line ends a block, and so does a text
         real = h != _HASH[b""]  # not a comment sign alone
         h, line, block = h[real], line[real], block[real]
-        if len(h) < 2:
-            return n, out
-        pairs = _bigrams(h)
-        at = np.searchsorted(self.pairs, pairs)
-        at[at == len(self.pairs)] = 0
-        where = np.flatnonzero((self.pairs[at] == pairs) & (block[:-1] == block[1:]))
-        if len(where) < MIN_HITS:
-            return n, out
-        for part in np.split(where, np.flatnonzero((np.diff(where) > GAP) | (np.diff(block[where]) > 0)) + 1):
-            if len(part) >= MIN_HITS and any(own for x in pairs[part].tolist() for _, _, own in self.places[x]):
-                out += [(int(line[a]), f, p, share) for a, f, p, share in self._notices(h, pairs, part) if int(line[a]) not in tagged]
-        return n, sorted(out, key=lambda m: m[0])
+        if len(h) > 1:
+            pairs = _bigrams(h)
+            inside = block[1:] == block[:-1]
+            cover = self._proposed(h, pairs, inside, block)
+            at = np.searchsorted(self.pairs, pairs)
+            at[at == len(self.pairs)] = 0
+            where = np.flatnonzero((self.pairs[at] == pairs) & inside)
+            for part in np.split(where, np.flatnonzero((np.diff(where) > GAP) | (np.diff(block[where]) > 0)) + 1) if len(where) else ():
+                if cover[part[0] : part[-1] + 2].any() and any(own for x in pairs[part].tolist() for _, _, own in self.places[x]):
+                    k = int(np.searchsorted(top, line[part[0]], side="right")) - 1
+                    tagged = {m[0] for m in out[k] if m[2] == m[3] == 1.0 and m[1] in spdx(cut[k][m[0]])} if out[k] else set()
+                    out[k] += [(int(line[a] - top[k]), f, p, share) for a, f, p, share in self._notices(h, pairs, part) if int(line[a] - top[k]) not in tagged]
+        return [(int(x), sorted(m, key=lambda m: m[0])) for x, m in zip(n, out)]
+
+    def _proposed(self, h: np.ndarray, pairs: np.ndarray, inside: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Of each word, whether a window with it may hold a licence."""
+
+        def sums(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Number of known n-grams before each place, and the sums of their weights by that number."""
+            at = np.searchsorted(self.grams, x)
+            at[at == len(self.grams)] = 0
+            hit = (self.grams[at] == x) & counts
+            rows = self.weights[at[hit]]
+            return np.concatenate([[0], np.cumsum(hit)]), np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
+
+        n1, w1 = sums(h, np.ones(len(h), bool))
+        n2, w2 = sums(pairs, inside)
+        length = np.diff(np.append(np.flatnonzero(np.append(True, ~inside)), len(h)))
+        mark = np.zeros(len(h) + 1, np.int64)
+        for wide, step in WINDOWS:
+            a, b = windows_of(length, wide, step)
+            known = n1[b] - n1[a]
+            z = w1[n1[b]] - w1[n1[a]] + w2[n2[b - 1]] - w2[n2[a]] + (b - a - known)[:, None] * self.weights[-2]
+            z = (z / np.sqrt(b - a)[:, None] + self.weights[-1]) / self.temperature
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            maybe = z[:, -1] <= (1 - self.propose) * z.sum(axis=1)
+            np.add.at(mark, a[maybe], 1)
+            np.add.at(mark, b[maybe], -1)
+        return np.cumsum(mark[:-1]) > 0
 
     def _notices(self, h: np.ndarray, pairs: np.ndarray, part: np.ndarray) -> list[tuple[int, str, float, float]]:
         """(first word, family, probability, share) of the licences in a stretch with hits at part, none over another.
@@ -281,18 +345,46 @@ class Scanner:
         return out
 
 
+def stretches(df: DataFrame, text: str = "text", sample: int = SAMPLE, wide: int = 24) -> list[str]:
+    """At most ``sample`` distinct stretches of up to ``wide`` words, those of least hash among all that the lines of all rows are cut into."""
+
+    def run(batches):
+        claim("licenses")
+        held: dict[int, bytes] = {}
+        for b in slices(batches):
+            words = [x.encode("utf-8", "replace").split() for t in b.column(0).to_pylist() if t for x in t.split("\n")]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            size = size[size > 0]
+            flat = [w for ws in words for w in ws]
+            if not flat:
+                continue
+            a, e = windows_of(size, wide, wide)
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(_hashes(flat)), dtype=U64)])
+            name = mix(sums[e] - sums[a])
+            bound = max(held) if len(held) >= sample else 1 << 64
+            for k in np.argsort(name)[:sample].tolist():
+                if (x := int(name[k])) < bound:
+                    held[x] = b" ".join(flat[a[k] : e[k]])
+            if len(held) > sample:
+                held = dict(sorted(held.items())[:sample])
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.uint64()).cast(pa.decimal128(20, 0)), pa.array([x.decode("utf-8", "replace") for x in held.values()], pa.string())], names=["h", "p"])
+
+    rows = df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h decimal(20,0), p string")
+    return [r.p for r in rows.groupBy("h").agg(F.min("p").alias("p")).orderBy("h").limit(sample).collect()]
+
+
 def trained(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Scanner:
-    """A scanner whose unknown class comes from at most ``sample`` paragraphs (the first 400 characters of each are enough to train on)."""
-    lines = df.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("p")).where("length(p) > 20")
-    return Scanner().train([r.p for r in lines.select(F.substring("p", 1, 400).alias("p")).limit(sample).collect()])
+    """A scanner whose unknown class comes from at most ``sample`` stretches of the corpus."""
+    return Scanner().train(stretches(df, text, sample))
 
 
 def scan(df: DataFrame, scanner: Scanner, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each paragraph that a licence was found in: doc_id, paragraph, family, probability, share."""
 
     def run(batches):
+        claim("licenses")
         for b in slices(batches):
-            rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in scanner.paragraphs(t)[1]]
+            rows = [(i, *m) for i, (_, found) in zip(b.column(0).to_pylist(), scanner.matches(b.column(1).to_pylist())) for m in found]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "paragraph", "family", "probability", "share"])
 
@@ -303,8 +395,9 @@ def scan_documents(df: DataFrame, scanner: Scanner, key: str = "doc_id", text: s
     """Per row of df: doc_id, n_paragraphs, n_licensed (paragraphs with a licence), families (sorted, joined by commas)."""
 
     def run(batches):
+        claim("licenses")
         for b in slices(batches):
-            found = [scanner.paragraphs(t) for t in b.column(1).to_pylist()]
+            found = scanner.matches(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len({x[0] for x in m}) for _, m in found], pa.int64()), pa.array([",".join(sorted({x[1] for x in m})) for _, m in found], pa.string())], names=["doc_id", "n_paragraphs", "n_licensed", "families"])
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_paragraphs long, n_licensed long, families string")

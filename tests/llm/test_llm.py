@@ -578,6 +578,56 @@ def test_license_scan(spark, sf):
     assert licenses.trained(docs(spark, [])).paragraphs("Released under the MIT License.")[1]
 
 
+#: Headers as they stand in files: commented, wrapped, reworded; none is a template.
+HEADERS = {
+    "# SPDX-License-Identifier: MIT": "mit",
+    "// SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "/* Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files (the\n * \"Software\"), to deal in the Software without restriction, including\n * without limitation the rights to use, copy, modify, merge, publish */": "mit",
+    "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.": "gpl",
+    " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:": "bsd",
+    "SPDX-License-Identifier: BSD-2-Clause": "bsd",
+    "-- Permission to use, copy, modify, and distribute this software for any\n-- purpose with or without fee is hereby granted, provided that the above\n-- copyright notice and this permission notice appear in all copies.": "isc",
+    "This project is MIT licensed": "mit",
+    "; Licensed under the Apache License, Version 2.0 (the \"License\");\n; you may not use this file except in compliance with the License.\n; You may obtain a copy of the License at": "apache-2.0",
+    "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this": "mpl-2.0",
+}
+
+
+def test_license_headers_that_were_not_trained_on(spark, sf):
+    scanner = licenses.trained(table(spark, sf, "documents"))
+    for text, family in HEADERS.items():
+        assert [m[1] for m in scanner.paragraphs("int main;\n\n" + text + "\n\nint x;")[1]] == [family], text
+
+
+def test_license_scan_of_clean_and_odd_texts(spark):
+    """False positives on documents without licence wording, over more of them than the sample trained on; and the defined cases."""
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    scanner = licenses.trained(d, sample=500)
+    clean = d.where("not text rlike '(?i)licen|copyright|rights\\\\s+reserved|public\\\\s+domain|SPDX'")
+    assert clean.count() > 800 and licenses.scan(clean, scanner).count() == 0
+    texts = TEXTS + ["Released under the MIT License.\nReleased under the MIT License."]
+    edge = {r.doc_id: (r.n_paragraphs, r.n_licensed, r.families) for r in licenses.scan_documents(docs(spark, texts), scanner).collect()}
+    assert edge[0] == (0, 0, "") == edge[1] and edge[len(TEXTS)] == (2, 2, "mit") and len(edge) == len(texts)
+    assert [edge[i][0] for i in range(len(TEXTS))] == [sum(bool(x.encode().split()) for x in (t or "").split("\n")) for t in TEXTS]
+    one = licenses.scan_documents(docs(spark, texts).withColumn("families", F.lit(1)).repartition(1), scanner)
+    assert {r.doc_id: tuple(r)[1:] for r in one.collect()} == edge == {i: (n, len({m[0] for m in f}), ",".join(sorted({m[1] for m in f}))) for i, (n, f) in enumerate(map(scanner.paragraphs, texts))}
+    none = licenses.trained(docs(spark, []))
+    assert none.paragraphs("Released under the MIT License.")[1] and licenses.scan_documents(docs(spark, []), none).count() == 0
+    words = [w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()]
+    rng = random.Random(12)
+    assert sum(bool(scanner.paragraphs(" ".join(rng.sample(words, 15)))[1]) for _ in range(200)) <= 2
+
+
+def test_windows_cover_every_word():
+    rng = random.Random(31)
+    size = np.array([rng.choice([1, 2, 7, 8, 9, 23, 24, 25, 100]) for _ in range(50)])
+    for wide, step in licenses.WINDOWS:
+        a, b = licenses.windows_of(size, wide, step)
+        ends = np.cumsum(size)
+        assert (b > a).all() and (b - a <= wide).all() and (np.searchsorted(ends, a, side="right") == np.searchsorted(ends, b - 1, side="right")).all()
+        assert set(range(ends[-1])) == {w for x, y in zip(a, b) for w in range(x, y)}
+
+
 def test_license_line_forms(spark, sf):
     scanner = licenses.trained(table(spark, sf, "documents"))
     forms = {
