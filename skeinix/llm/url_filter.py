@@ -10,8 +10,9 @@ allowed.
 
 Everything but union-find stays in JVM expressions.  Defined cases: a null url, or
 one without ``://``, has empty host and path, fits no rule and has no edges; null
-html has no edges; edges to nowhere, loops and repeated rows change nothing; an
-empty table gives no rows; very long urls are taken whole.
+html has no edges; edges to nowhere, loops and repeated rows change nothing; of rules of
+equal length an allow wins; an empty table gives no rows; very long urls and texts are
+taken whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _META = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_HREF, _URL = (rf"""(?i)\b{x}\s*=\s*["']?([^"'\s>]+)""" for x in ("href", "url"))
 
 
 def rest_of(url: Column) -> Column:
@@ -69,8 +71,8 @@ def resolve(base: Column, to: Column) -> Column:
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): urls joined by a canonical link or a refresh redirect in a page."""
     p = pages.select(F.col(url).cast("string").alias("a"), F.col(html).cast("string").alias("h")).where("locate('://', a) > 0 and h rlike '(?i)canonical|refresh'")
-    link = F.regexp_extract(F.regexp_extract("h", _LINK, 0), r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(F.regexp_extract("h", _META, 0), r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    link = F.regexp_extract(F.regexp_extract("h", _LINK, 0), _HREF, 1)
+    meta = F.regexp_extract(F.regexp_extract("h", _META, 0), _URL, 1)
     return p.select("a", F.explode(F.array(link, meta)).alias("to")).where("to <> ''").select("a", resolve(F.col("a"), F.col("to")).alias("b")).where("locate('://', b) > 0")
 
 
@@ -104,16 +106,40 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    cases = lambda what: " ".join(f"when (h = '{t.partition('/')[0]}' or ends_with(h, '.{t.partition('/')[0]}')) and starts_with(p, '/{t.partition('/')[2]}') then '{k if what else t}'" for k, t in sorted(RULES, key=lambda r: (len(r[1]), r[0] == "allow"), reverse=True))
+    def cases(what: bool) -> str:
+        order = sorted(RULES, key=lambda r: (len(r[1]), r[0] == "allow"), reverse=True)
+        split = [(k, t, *t.split("/", 1)) for k, t in order]
+        return " ".join(f"when (h = '{h}' or ends_with(h, '.{h}')) and starts_with(p, '/{p}') then '{k if what else t}'" for k, t, h, p in split)
+
+    def after(u: str) -> str:
+        return f"case when strpos({u}, '://') > 0 then substr({u}, strpos({u}, '://') + 3) end"
+
+    def host(u: str) -> str:
+        return f"translate(regexp_extract({after(u)}, '^[^/?#]*'), '{_UP}', '{_LOW}')"
+
+    def path(u: str) -> str:
+        return f"regexp_extract({after(u)}, '^[^/?#]*([^?#]*)', 1)"
+
+    def norm(u: str) -> str:
+        return f"translate(regexp_extract({u}, '^([^:]*)://', 1), '{_UP}', '{_LOW}') || '://' || {host(u)} || coalesce(nullif(regexp_extract({after(u)}, '^[^/?#]*([^#]*)', 1), ''), '/')"
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def target(tag: str, attribute: str) -> str:
+        return f"regexp_extract(regexp_extract(html, {quoted(tag)}), {quoted(attribute)}, 1)"
+
+    folder = "regexp_extract(a, '^([^:]*://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
     return f"""
-with recursive u as (select page_id, url, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as r from pages),
-v as (select *, coalesce(translate(regexp_extract(r, '^[^/?#]*'), '{_UP}', '{_LOW}'), '') as h, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') as p,
-  translate(regexp_extract(url, '^([^:]*)://', 1), '{_UP}', '{_LOW}') || '://' || translate(regexp_extract(r, '^[^/?#]*'), '{_UP}', '{_LOW}') || case when regexp_extract(r, '^[^/?#]*([^#]*)', 1) = '' then '/' else regexp_extract(r, '^[^/?#]*([^#]*)', 1) end as n from u),
-link as (select n as a, unnest([regexp_extract(regexp_extract(html, '(?i)<link[^>]*rel=["'']?canonical[^>]*>'), '(?i)href=["'']?([^"''[:space:]>]+)', 1), regexp_extract(regexp_extract(html, '(?i)<meta[^>]*http-equiv=["'']?refresh[^>]*>'), '(?i)url=["'']?([^"''[:space:]>]+)', 1)]) as b from v where r is not null),
-edge as (select a, b from link where b <> '' union select b, a from link where b <> ''),
+with recursive v as (select page_id, url, html, coalesce({host("url")}, '') as h, coalesce({path("url")}, '') as p, {norm("url")} as n from pages),
+link as (select url as a, unnest([{target(_LINK, _HREF)}, {target(_META, _URL)}]) as t from v where strpos(url, '://') > 0),
+full_link as (select a, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then regexp_extract(a, '^([^:]*:)', 1) || t
+  when starts_with(t, '/') then regexp_extract(a, '^([^:]*://[^/?#]*)', 1) || t else {folder} || case when ends_with({folder}, '/') then '' else '/' end || t end as b from link where t <> ''),
+one as (select {norm("a")} as a, {norm("b")} as b from full_link where strpos(b, '://') > 0),
+edge as (select a, b from one where a <> b union select b, a from one where a <> b),
 reach as (select a as x, a as y from edge union select reach.x, edge.b from reach join edge on reach.y = edge.a),
-ends as (select distinct a as url from edge),
-bad as (select url from (select url, translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), '{_UP}', '{_LOW}') as h, regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) as p from ends) where case {cases(True)} end = 'block'),
+ends as (select url, coalesce({host("url")}, '') as h, coalesce({path("url")}, '') as p from (select distinct a as url from edge)),
+bad as (select url from ends where case {cases(True)} end = 'block'),
 tainted as (select distinct x from reach join bad on reach.y = bad.url)
 select page_id, h as host, p as path, case {cases(False)} end as rule, coalesce(case {cases(True)} end, case when n in (select x from tainted) then 'block' end, 'allow') as verdict from v"""
 

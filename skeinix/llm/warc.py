@@ -6,16 +6,18 @@ one, else the entity tag by weak comparison, else the last-modified date; one of
 them at least), then the response's payload stands for it and the headers that a
 not-modified answer may change replace the stored ones.
 
-The join is made of partial aggregations and windows over (URL, time bucket), so a
-URL that holds a third of all records is spread over its buckets: the latest
-response of each bucket comes from a combined aggregation, only those pass through
-a window over the URL, and what a bucket inherits is joined back by equality.
+The join is made of partial aggregations and windows.  Records of a URL at one second
+are one point, so a time bucket of a URL has no more points than seconds, whatever the
+number of its records; the window inside a bucket runs over points, the latest response
+of each bucket comes from a combined aggregation, only those pass through a window over
+the URL, and what a bucket inherits is joined back by equality.  Revisits find the answer
+of their point by equality too, a join that adaptive execution splits when skewed.
 Payloads don't move; headers are joined to the pairs that were found.
 
 Defined cases: a null URL or time resolves to nothing; of responses at one time the
 greatest record_id is the latest; a response at a revisit's own time isn't earlier;
-repeated rows give repeated rows; null headers count as none; other columns are
-ignored.
+repeated rows give repeated rows; null headers count as none; very long values are taken
+whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,13 +55,15 @@ def resolve(records: DataFrame, bucket: int = 86_400) -> DataFrame:
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     slim = r.where(full | (F.col("kind") == "revisit")).select("record_id", "canonical", "ts", (F.col("kind") == "revisit").alias("asks"), F.floor(F.col("ts") / bucket).alias("tb"))
     known = slim.where("canonical is not null and ts is not null")
-    at = F.when(~F.col("asks"), F.struct("ts", "record_id"))
-    per = known.groupBy("canonical", "tb").agg(F.max(at).alias("latest"))
+    points = known.groupBy("canonical", "tb", "ts").agg(F.max(F.when(~F.col("asks"), F.col("record_id"))).alias("rid"), F.max("asks").alias("asked"))
+    at = F.when(F.col("rid").isNotNull(), F.struct("ts", "rid"))
+    per = points.groupBy("canonical", "tb").agg(F.max(at).alias("latest"))
     before = Window.partitionBy("canonical").orderBy("tb").rowsBetween(Window.unboundedPreceding, -1)
     inherited = per.select("canonical", "tb", F.last("latest", ignorenulls=True).over(before).alias("inherited"))
-    inside = Window.partitionBy("canonical", "tb").orderBy("ts", F.desc("asks"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    asked = known.select("*", F.last(at, ignorenulls=True).over(inside).alias("own")).where("asks").join(inherited, ["canonical", "tb"])
-    pairs = asked.select("record_id", F.coalesce("own", "inherited")["record_id"].alias("refers_to"))
+    inside = Window.partitionBy("canonical", "tb").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    asked = points.select("*", F.last(at, ignorenulls=True).over(inside).alias("own")).where("asked").join(inherited, ["canonical", "tb"])
+    answers = asked.select("canonical", "ts", F.coalesce("own", "inherited")["rid"].alias("refers_to"))
+    pairs = known.where("asks").select("record_id", "canonical", "ts").join(answers, ["canonical", "ts"]).select("record_id", "refers_to")
     revisits = r.where("kind = 'revisit'").select("record_id", "canonical", "ts", F.col("headers").alias("h"), F.col("payload_digest").alias("d"))
     stored = r.where(full).select(F.col("record_id").alias("refers_to"), F.col("headers").alias("sh"), F.col("payload_digest").alias("sd"))
     j = revisits.join(pairs.distinct(), "record_id", "left").join(stored.dropDuplicates(["refers_to"]), "refers_to", "left")

@@ -556,6 +556,56 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(p.limit(0), html=None).count() == 0
 
 
+def test_url_sql_and_brute_force_over_links(spark):
+    """Hubs, chains, relative links, allow precedence: Spark, the SQL and a plain union-find agree."""
+    import duckdb
+
+    rng = random.Random(32)
+    hosts = ["a.test", "b.test", "x.com", "sub.y.net", "example.com", "z.org"]
+    paths = ["/", "", "/en/1", "/en/7", "/de/1", "/es/2", "/p/q", "/p/r?x=1", "/p/#top", "/w"]
+    rows, edges = [], []
+    url = lambda: rng.choice(["http", "HTTP", "https"]) + "://" + rng.choice([str.upper, str])(rng.choice(hosts)) + rng.choice(paths)
+    for i in range(160):
+        u, html = url() + rng.choice(["", f"-{i}"]), "<p>text"
+        if rng.random() < 0.6:
+            to = rng.choice([url(), url() + f"-{rng.randint(0, 159)}", "/p/q", "//b.test/w", "beside", "http://hub.test/all", f"/chain/{i % 20}", f"/chain/{(i + 1) % 20}"])
+            html += rng.choice([f"<link rel='canonical' href='{to}'>", f'<LINK data-x="1" rel = canonical href="{to}" >', f"<meta http-equiv=refresh content='0; url={to}'>"])
+        rows.append((i, u, html))
+    rows += [(900, "http://hub.test/all", '<link rel="canonical" href="http://x.com/en/1">'), (901, None, "<p>"), (902, "no url", None), (5, rows[5][1], rows[5][2])]
+    got = sorted(tuple(r) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).select("page_id", "host", "path", "rule", "verdict").collect())
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert sorted(got, key=repr) == sorted(con.sql(url_filter.SQL["op2_url_filter"]).fetchall(), key=repr)
+
+    def norm(u):
+        scheme, rest = u.split("://", 1)
+        m = re.match("([^/?#]*)([^#]*)", rest)
+        return scheme.lower() + "://" + m[1].lower() + (m[2] or "/")
+
+    def said(u):
+        m = re.match("([^/?#]*)([^?#]*)", u.split("://", 1)[1])
+        h, p = m[1].lower(), m[2]
+        fit = [(len(t), k == "allow", k) for k, t in url_filter.RULES if (h == t.split("/")[0] or h.endswith("." + t.split("/")[0])) and p.startswith("/" + t.split("/", 1)[1])]
+        return max(fit)[2] if fit else None
+
+    number, uf = {}, components.UnionFind()
+    node = lambda u: number.setdefault(norm(u), len(number))
+    for _, u, html in rows:
+        m = re.search("""(?i)canonical.*?href=["']([^"']+)|url=([^"']+)""", html or "")
+        if u and "://" in u and m:
+            to = m[1] or m[2]
+            root, folder = re.match("[^:]*://[^/?#]*", u)[0], re.match("[^:]*://[^/?#]*(/[^?#]*/|/)?", u)[0]
+            to = to if "://" in to else u.split(":")[0] + ":" + to if to.startswith("//") else root + to if to.startswith("/") else (folder if folder.endswith("/") else folder + "/") + to
+            edges.append((node(u), node(to)))
+            uf.union(*edges[-1])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    bad = {uf.find(i) for u, i in number.items() if i in linked and said(u) == "block"}
+    want = {i: said(u) or ("block" if norm(u) in number and number[norm(u)] in linked and uf.find(number[norm(u)]) in bad else "allow") if u and "://" in u else "allow" for i, u, _ in rows}
+    assert {r[0]: r[4] for r in got} == want
+    assert sum(v == "block" and said(u) is None for (i, u, _), v in zip(rows, map(want.get, (r[0] for r in rows))) if u and "://" in u) > 10
+
+
 # -- 1 ------------------------------------------------------------------------
 def test_license_scan(spark, sf):
     d = table(spark, sf, "documents")
@@ -690,6 +740,26 @@ def test_revisits(spark):
     assert warc.resolve(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_revisits_against_brute_force(spark):
+    rng = random.Random(33)
+    rows = []
+    for i in range(600):  # one url has most records, many of them at one second
+        u = "http://hot.test/" if rng.random() < 0.7 else f"http://b.test/{rng.randint(0, 5)}"
+        ts = rng.choice([100, rng.randint(0, 300_000)])
+        kind = rng.choice(["response", "revisit"])
+        rows.append((i, u, ts, kind, 200 if kind == "response" else 304, {"etag": f'"{rng.randint(0, 2)}"'}, f"p{i}" if kind == "response" else None))
+    rows += [rows[3], rows[4]]
+    d = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, headers map<string,string>, payload_digest string").withColumn("tb", F.lit(1)).withColumn("own", F.lit(1))
+    got = sorted((r.record_id, r.refers_to, r.outcome) for r in warc.resolve(d.repartition(4), bucket=1000).collect())
+    want = []
+    for i, u, ts, kind, _, h, _ in rows:
+        if kind == "revisit":
+            best = max(((r[2], r[0], r[5]) for r in rows if r[3] == "response" and r[1] == u and r[2] < ts), default=None, key=lambda x: x[:2])
+            want.append((i, best and best[1], "no response" if best is None else "resolved" if best[2] == h else "mismatch"))
+    key = lambda x: (x[0], x[1] or -1)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 # -- pipeline -----------------------------------------------------------------
 def test_pipeline(spark, sf):
     import corpus_pipeline
