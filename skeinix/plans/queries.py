@@ -182,14 +182,14 @@ def field_stats(spark, sf):
 @query(f"with {_POST}, {_bm25_sql(50)} select id, round(score, 6) as score from bm")
 def bm25_topk(spark, sf):
     tok = _tok(spark, sf)
-    return _shown(bm25.bm25(bm25.postings(tok), bm25.stats(tok), TERMS, 50, digits=9))
+    return _shown(bm25.bm25(bm25.postings(tok, TERMS), bm25.stats(tok), TERMS, 50, digits=9))
 
 
 @query(f"with {_POST}, {_bm25_sql(50, where=chr(39).join(['lang = ', 'en', '']))} select id, round(score, 6) as score from bm")
 def bm25_filtered(spark, sf):
     tok = _tok(spark, sf)
     allowed = T(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("docid"))
-    return _shown(bm25.bm25(bm25.postings(tok), bm25.stats(tok), TERMS, 50, allowed, digits=9))
+    return _shown(bm25.bm25(bm25.postings(tok, TERMS), bm25.stats(tok), TERMS, 50, allowed, digits=9))
 
 
 _BATCH_BM = f"""{_POST}, q as (select distinct item_id as qid, unnest({_TOK}) as term from benchmark),
@@ -241,7 +241,7 @@ def _lists(spark, sf, where: str | None = None):
     tok = _tok(spark, sf)
     allowed = None if where is None else docs.where(where).select(F.col("doc_id").alias("docid"))
     pool = v if where is None else v.join(allowed.withColumnRenamed("docid", "id"), "id", "left_semi")
-    return knn.knn(pool, _query_vector(v), 30, digits=9), bm25.bm25(bm25.postings(tok), bm25.stats(tok), TERMS, 30, allowed, digits=9)
+    return knn.knn(pool, _query_vector(v), 30, digits=9), bm25.bm25(bm25.postings(tok, TERMS), bm25.stats(tok), TERMS, 30, allowed, digits=9)
 
 
 @query(f"with {_POST}, {_bm25_sql(30)}, {_VEC} select id, round(score, 9) as score from {_RRF} order by round(score, 12) desc, id limit 10")
@@ -273,7 +273,7 @@ def hybrid_linear(spark, sf):
 @query(f"with {_POST}, {_bm25_sql(50)} select id, round(score, 6) as score, round(s, 6) as norm from bm join {_NORM('bm')} using (id)")
 def minmax_norm(spark, sf):
     tok = _tok(spark, sf)
-    return _shown(fusion.normalised(bm25.bm25(bm25.postings(tok), bm25.stats(tok), TERMS, 50, digits=9))).withColumn("norm", F.round("norm", 6))
+    return _shown(fusion.normalised(bm25.bm25(bm25.postings(tok, TERMS), bm25.stats(tok), TERMS, 50, digits=9))).withColumn("norm", F.round("norm", 6))
 
 
 _PROJ = f"""pp as (select lang as project, doc_id as id, round(sum({_W}), 9) as s from post join (select term, count(*) as df from post where term in ({_IN}) group by term) using (term) cross join st join (select doc_id, lang from tok) using (doc_id) group by all),
@@ -283,7 +283,7 @@ pr as (select *, row_number() over (partition by project order by s desc, id) -
 @query(f"with {_POST}, {_PROJ} select id, round(1.0::double / (61 + rank), 9) as score, project = 'de' as degraded, project from pr where rank < 8 order by score desc, id limit 20")
 def rrf_multi_project(spark, sf):
     tok = _tok(spark, sf)
-    scored = bm25.bm25(bm25.postings(tok), bm25.stats(tok), TERMS, digits=9).join(T(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("project")), "id")
+    scored = bm25.bm25(bm25.postings(tok, TERMS), bm25.stats(tok), TERMS, digits=9).join(T(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("project")), "id")
     lists = fusion.ranked(scored, "project").where("rank < 8").select("project", F.col("project").alias("list"), "id", "rank", (F.col("project") == "de").alias("degraded"))
     return fusion.rrf_projects(lists, 20).withColumn("score", F.round("score", 9)).select("id", "score", "degraded", "project")
 
@@ -341,7 +341,7 @@ select rank, v.id as vector, b.id as text, v.id is distinct from b.id as differs
 def mode_comparison(spark, sf):
     v = _vectors(spark, sf)
     tok = _tok(spark, sf)
-    vec, txt = knn.knn(v, _query_vector(v), 10, digits=9), bm25.bm25(bm25.postings(tok), bm25.stats(tok), TERMS, 10, digits=9)
+    vec, txt = knn.knn(v, _query_vector(v), 10, digits=9), bm25.bm25(bm25.postings(tok, TERMS), bm25.stats(tok), TERMS, 10, digits=9)
     return evaluate.compared({"vector": fusion.ranked(vec), "text": fusion.ranked(txt)})
 
 

@@ -27,6 +27,14 @@ class Files:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
+    def modified(self, path: str) -> float:
+        """Seconds since 1970 of the last change of a file, or of what a folder holds (one level)."""
+        fs, p = self._at(path)
+        if not fs.exists(p):
+            return 0.0
+        own = fs.getFileStatus(p)
+        return max([own.getModificationTime(), *(s.getModificationTime() for s in (fs.listStatus(p) if own.isDirectory() else ()))]) / 1000
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -26,6 +26,8 @@ from ..operators import bm25, search
 from .fs import Files
 
 VERSION = 1
+#: Seconds after which files that no manifest names count as left over by a session that ended.
+LEASE_S = 24 * 3600.0
 
 
 class Database:
@@ -61,14 +63,15 @@ class Database:
         if old > 0:
             self.files.delete(f"{self.path}/manifest-{old:012d}.json")
 
-    def recover(self) -> list[str]:
-        """Delete what no kept manifest names; returns the names."""
+    def recover(self, lease: float = LEASE_S) -> list[str]:
+        """Delete what no kept manifest names and what hasn't changed for ``lease`` seconds, since it may be another session's that isn't committed yet; returns the names."""
         live: set[str] = set()
         for n in self.files.names(self.path):
             if n.startswith("manifest-") and n.endswith(".json"):
                 for c in json.loads(self.files.read(f"{self.path}/{n}"))["collections"].values():
                     live |= {s["name"] for s in c["segments"]} | {s["postings"] for s in c["segments"]} | set(c["tombstones"])
         gone = [n for n in self.files.names(self.path) if n[:2] in ("s-", "p-", "t-") and n not in live] if live or self._latest() else []
+        gone = [n for n in gone if time.time() - self.files.modified(f"{self.path}/{n}") >= lease] if lease > 0 else gone
         for n in gone:
             self.files.delete(f"{self.path}/{n}")
         return gone
@@ -103,7 +106,10 @@ class Database:
     def collection_stats(self, name: str) -> tuple:
         e = self.manifest()["collections"][name]
         total = sum(s["count"] for s in e["segments"])
-        dead = sum(self.spark.read.parquet(f"{self.path}/{t}").count() for t in e["tombstones"])
+        dead = 0
+        if e["tombstones"]:  # those of documents that merges have dropped since count no more
+            held = self.spark.read.parquet(*[f"{self.path}/{s['name']}" for s in e["segments"]]).select("docid")
+            dead = held.join(self.spark.read.parquet(*[f"{self.path}/{t}" for t in e["tombstones"]]).distinct(), "docid", "left_semi").count()
         size = sum(self.files.size(f"{self.path}/{x}") for s in e["segments"] for x in (s["name"], s["postings"]))
         missing = [s["name"] for s in e["segments"] if not self.files.exists(f"{self.path}/{s['name']}")]
         health = "corrupt" if missing else "degraded" if e["state"] != "stable" else "healthy"
@@ -262,16 +268,23 @@ class Collection:
         self.db.commit(self.name, e | {"segments": segs, "next": e["next"] + n})
 
     def set_user_dict(self, tokens: Analyzer) -> None:
-        """Stage another analyzer; it takes effect at reindex."""
+        """Stage another analyzer; it takes effect at reindex, in this session or, by its name, in a later one."""
         self._staged = tokens
-        self.db.commit(self.name, self.entry | {"state": "pending"})
+        self.db.commit(self.name, self.entry | {"state": "pending", "staged": {"analyzer": tokens.name, "tokenizer": tokens.id}})
 
-    def reindex(self) -> None:
-        """Build the postings anew from the stored texts with the staged analyzer."""
+    def reindex(self, tokens: Analyzer | None = None) -> None:
+        """Build the postings anew from the stored texts with the staged analyzer.
+
+        After a restart it is made by its name, or is ``tokens`` (an analyzer with words of
+        its own has to be given); it must be the one that was staged.
+        """
         e = self.entry
-        if e["state"] != "pending" or not hasattr(self, "_staged"):
+        if e["state"] != "pending":
             raise EngineError("INVALID_ARG", "no dictionary is staged")
-        before, self.analyzer = self.analyzer, self._staged
+        staged = tokens or getattr(self, "_staged", None) or analyzer(e["staged"]["analyzer"])
+        if staged.id != e["staged"]["tokenizer"]:
+            raise EngineError("TOKENIZER_MISMATCH", "another analyzer was staged")
+        before, self.analyzer = self.analyzer, staged
         try:
             segs = []
             for s in e["segments"]:
@@ -282,8 +295,9 @@ class Collection:
         except Exception:
             self.analyzer = before
             raise
-        self.db.commit(self.name, e | {"segments": segs, "state": "stable", "analyzer": self.analyzer.name, "tokenizer": self.analyzer.id})
-        del self._staged
+        done = {"segments": segs, "state": "stable", "analyzer": self.analyzer.name, "tokenizer": self.analyzer.id}
+        self.db.commit(self.name, {k: v for k, v in e.items() if k != "staged"} | done)
+        self._staged = None
 
     # -- reading ----------------------------------------------------------
     def documents(self) -> DataFrame:

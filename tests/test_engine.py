@@ -277,3 +277,25 @@ def test_reconcile_tables(spark):
         q = ingest.DirtyQueue(q.table.checkpoint() if False else spark.createDataFrame(q.table.collect(), q.table.schema))
     assert seen == [1, 3, 7]
     assert [one(spark, ingest.backoff(F.col("n")), n=n) for n in (1, 2, 3, 7, 8)] == [1, 3, 7, 123, 183]
+
+
+def test_postings_against_brute_force(spark):
+    from collections import Counter
+
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["b"] * 50 + ["é", ""]), (5, ["a"]), (None, ["z"])]
+    tok = spark.createDataFrame(rows, "docid long, tokens array<string>").withColumn("tf", F.lit("clash"))
+    want = sorted(((t, d, n, len(w)) for d, w in rows for t, n in Counter(w or ()).items()), key=repr)
+    assert sorted((tuple(r) for r in bm25.postings(tok.repartition(3)).collect()), key=repr) == want
+    assert sorted((tuple(r) for r in bm25.postings(tok, ["a", "z", "a", "none"]).collect()), key=repr) == [x for x in want if x[0] in ("a", "z")]
+    assert bm25.postings(tok.limit(0)).count() == 0 == bm25.postings(tok, []).count()
+
+
+def test_sparse_hash_embeddings_are_the_embedder(spark):
+    from skeinix.sources.embed import hash_embedding, hashing
+
+    texts = ["Red fox runs", "", None, "x", "Ünïcode 12-34 a a a", "the the the"]
+    got = {}
+    for r in hash_embedding(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), dim=16).collect():
+        got.setdefault(r.id, {})[r.d] = r.x
+    for i, v in enumerate(hashing(16)([t or "" for t in texts])):
+        assert {d: round(x, 5) for d, x in got.get(i, {}).items()} == {d: round(float(x), 5) for d, x in enumerate(v) if x}

@@ -67,6 +67,43 @@ def test_collection_life(spark, db, tmp_path):
     assert len(hits(c.search({"text": "fox", "vector": [1, 0]}, approximate=True))) == 3
 
 
+def test_recovery_leaves_a_live_writer_alone(spark, db):
+    """Opening the database beside a flush that isn't committed yet deletes nothing of it; what is left over goes after the lease."""
+    c = db.collection("docs", Schema(1), analyzer("simple"))
+    c.add(spark.createDataFrame([("a", "fox")], "id string, text string"))
+    c.flush()
+    spark.range(3).selectExpr("id as docid").write.parquet(f"{db.path}/s-writing")
+    other = Database(spark, db.path)
+    assert other.files.exists(f"{db.path}/s-writing") and other.recover() == []
+    assert spark.read.parquet(f"{db.path}/s-writing").count() == 3
+    assert other.recover(0) == ["s-writing"] and c.live().count() == 1
+
+
+def test_staged_analyzer_outlives_the_session(spark, db):
+    c = db.collection("docs", Schema(1), analyzer("simple"))
+    c.add(spark.createDataFrame([("a", "foxes run"), ("b", "hen")], "id string, text string"))
+    c.flush()
+    c.set_user_dict(analyzer("standard"))
+    again = Database(spark, db.path).collection("docs")
+    with pytest.raises(EngineError):
+        again.reindex(analyzer("cjk_bigram"))
+    again.reindex()
+    assert again.entry["state"] == "stable" and [i for i, _ in hits(again.search({"text": "fox"}))] == ["a"]
+    with pytest.raises(EngineError):
+        again.reindex()
+
+
+def test_stats_after_a_merge(spark, db):
+    c = db.collection("docs", Schema(1), analyzer("simple"))
+    for i in range(3):
+        c.add(spark.createDataFrame([(f"d{i}", f"w{i}"), (f"e{i}", "x")], "id string, text string"))
+        c.flush()
+    c.delete(["d0", "d1"])
+    c.merge(c.segments().where("tombstoned > 0").limit(2))
+    r = db.stats().first()
+    assert (r.total, r.live, r.tombstoned) == (4, 4, 0) and c.live().count() == 4
+
+
 def test_auto_merge(spark, db):
     c = db.collection("m", Schema(1), analyzer("simple"))
     for i in range(11):
