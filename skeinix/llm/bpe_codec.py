@@ -2,8 +2,8 @@
 
 No shuffle: a worker encodes each distinct word that it meets once (see ``bpe``)
 and puts the documents together from those.  Null texts count as empty ones;
-texts of any length are taken whole; repeated rows give repeated rows; other
-columns pass through ``encode``/``decode`` untouched, even when they have the
+texts of any length are taken whole; repeated rows give repeated rows; an empty table
+gives no rows; other columns pass through ``encode``/``decode`` untouched, even when they have the
 names used here for inner purposes.
 """
 

@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's, or (where it is unset, as in tests) one of our own."""
+    """The folder that all executors share: the session's, or (where it is unset and everything runs on one machine, as in tests) one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = os.environ.setdefault("SKEINIX_SHARED_DIR", tempfile.mkdtemp(prefix="skeinix-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = os.environ.get("SKEINIX_SHARED_DIR") or os.environ.setdefault("SKEINIX_SHARED_DIR", tempfile.mkdtemp(prefix="skeinix-"))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
     return at

@@ -15,7 +15,8 @@ of a stretch stays open and begins the next one, so that nothing is padded for i
 No shuffle is made unless ``order`` names columns; then the documents are first
 range-partitioned and sorted by them.  Null text counts as empty (one end token);
 documents longer than a window fall into several pieces; an empty table gives no
-rows.  Rows with equal or null keys are packed as documents of their own.
+rows.  Rows with equal or null keys are packed as documents of their own; other columns
+are ignored, whatever their names; of cuts of equal cost the earliest is taken.
 """
 
 from __future__ import annotations

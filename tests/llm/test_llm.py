@@ -781,6 +781,36 @@ def test_pipeline(spark, sf):
     assert final.select("doc_id").distinct().count() == sizes[-1]
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names, empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(34)
+    good = [sentence(rng, 40) for _ in range(12)]
+    texts = [None, "", " \n", good[0], good[0], good[1] + "\n" + good[2], good[2] + "\n" + good[3], good[4], good[4].upper(), " ".join(sentence(rng, 50) for _ in range(400)), good[5] + "\nshared line of some words", good[6] + "\nshared line of some words"]
+    ids = [None, 1, 2, 3, 3, 4, 4, None, 5, 6, None, None]
+    rows = [(i, t, None if k % 3 else "en", None, None if k % 2 else 7, "x") for k, (i, t) in enumerate(zip(ids, texts))]
+    rows.append(rows[9])
+    d = spark.createDataFrame(rows, DOC + ", __row string")
+    for c in ("__id", "__of", "__lost", "__left", "__n", "__text", "__stratum", "row", "stratum", "f1", "component", "kept"):
+        d = d.withColumn(c, F.lit(1))
+    out = d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = settled(stage(spark, out, sf))
+        assert out.columns == d.columns, name
+        assert stage(spark, d.limit(0), sf).count() == 0
+        left = [r.text for r in out.collect()]
+        if name == "quality_rules":
+            assert sorted(left) == sorted(t for t in [r[1] for r in rows] if t and len(t.split()) >= 10)
+        if name == "line_dedup":
+            lines = [x for t in left for x in t.split("\n")]
+            assert len(lines) == len(set(lines)) and {x for t in texts if t and len(t.split()) > 9 for x in t.split("\n")} == set(lines)
+    assert sum(r.doc_id == 6 for r in out.collect()) == 1 and {good[4], good[4].upper()} & {r.text for r in out.collect()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, sf)
+    assert packed.groupBy().sum("length").first()[0] == sum(len(load(tokenizer_path("word_bpe_49k.json")).encode(r.text)) + 1 for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, d.limit(0), sf).count() == 0
+
+
 def test_sql_of_queries(spark, sf):
     import duckdb
 
