@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents.  Between stages the rows are written as Parquet to
 the shared folder, so that a lost executor costs a part of one stage.
+
+Defined cases, for every stage: an empty table gives an empty one; other columns pass
+through whatever their names; very long texts are taken whole.  A null, empty or very
+short text fails the base rules.  Rows alike in doc_id and text are one after line dedup;
+rows of one doc_id, or of none, with different texts fare apart.  Of ties the least
+doc_id stays (null ids come first among lines, and rows without an id always stay in
+near-duplicate removal); null lang is a stratum of its own.
 """
 
 from __future__ import annotations
