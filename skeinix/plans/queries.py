@@ -412,7 +412,11 @@ def collection_search(spark, sf):
 
     from ..sources.store import Database
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skeinix-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="skeinix-")
     db = Database(spark, f"{base}/db-{uuid.uuid4().hex}")
     c = db.collection("docs", Schema(1, scalars=(("lang", "keyword"),)), analyzer("simple"))
     docs = T(spark, sf, "documents")
