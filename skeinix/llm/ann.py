@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-M, C, SLACK, SHARD, BLOCK = 192, 1.06, 1.0, 16384, 4096
+M, C, SLACK, SHARD, BLOCK = 128, 1.1, 2.0, 16384, 4096
 P1 = 0.6826894921370859  # of a normal number to lie within one standard deviation
 RESULT = "query_id long, vec_id long, score double"
 
@@ -45,7 +45,7 @@ class Shard:
         self.sorted = np.take_along_axis(p, self.order, axis=1)
         self.threshold = int(m * P1 - SLACK * (m * P1 * (1 - P1)) ** 0.5)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float = 0.25, together: int = 128):
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float = 0.3, together: int = 128):
         """(query, positions, cosines) of the k nearest found, for each query."""
         radii = radius * C ** np.arange(int(np.ceil(np.log(24 / radius) / np.log(C))))
         for at in range(0, len(queries), together):
