@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents.  Between stages the rows are written as Parquet to
-the shared folder, so that a lost executor costs a part of one stage.
+the shared folder, so that a lost executor costs a part of one stage.  Each stage begins
+with the executors giving unused heap back, which the one before it left.
 
 Defined cases, for every stage: an empty table gives an empty one; other columns pass
 through whatever their names; very long texts are taken whole.  A null, empty or very
@@ -17,31 +18,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinix.llm import line_dedup, ngram_join, packing, quality
-from skeinix.llm.common import new_path, table
+from skeinix.llm.common import give_back, new_path, table
 from skeinix.runtime import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or the cutoffs learned from ``labels``, go."""
-    _, chosen = quality.learned(docs, table(ship(spark), sf_dir, "labels"))
+    give_back(ship(spark))
+    _, chosen = quality.learned(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, chosen)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that are alike across the corpus the first stays; documents without a line left go."""
-    ship(spark)
+    give_back(ship(spark))
     return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at Jaccard 0.8 the one with the least id stays."""
-    ship(spark)
+    give_back(ship(spark))
     return ngram_join.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    ship(spark)
+    give_back(ship(spark))
     return packing.pack(docs)
 
 

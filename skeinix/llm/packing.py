@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load, tokenizer_path
-from .common import slices, table
+from .common import slices, table, trimmed
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -144,7 +144,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
         if out := rows(packer.flush(True)):
             yield out
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def padding(pieces: DataFrame, size: int = 2048) -> DataFrame:

@@ -826,3 +826,42 @@ def test_sql_of_queries(spark, sf):
         assert sorted(rel.columns) == cols
         at = [rel.columns.index(c) for c in cols]
         assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+def test_stages_give_unused_heap_back(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    def whole_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    at = []
+    for module, name in ((quality, "learned"), (line_dedup, "dedup_lines"), (ngram_join, "keep_one"), (packing, "pack")):
+        monkeypatch.setattr(module, name, lambda *a, **k: at.append(whole_collections()) or (None, None))
+    monkeypatch.setattr(quality, "keep_good", lambda *a, **k: None)
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole_collections()
+        stage(spark, None, sf)
+        assert at.pop() > before, name
+
+
+def test_packing_gives_freed_memory_back(spark, monkeypatch):
+    from skeinix.llm import common
+
+    done, taken = [], []
+    monkeypatch.setattr(common, "trim", lambda: done.append(1))
+
+    class Table:
+        def select(self, *a):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            taken.append(fn)
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    packing.pack(Table())
+    assert list(taken[0](iter([]))) == [] and done[-1:] == [1]
