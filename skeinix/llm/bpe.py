@@ -25,6 +25,7 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from .common import _CLEAR, claim
@@ -36,6 +37,54 @@ _GPT = " ?[{L}]+| ?[{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])
 _WORD = "[{L}]+|[{N}]|'(?:s|t|re|ve|m|ll|d)|[^{W}{L}{N}]+"
 #: Characters of a text that are taken apart at a time, which bounds the memory; nothing is left out.
 PIECE = 1 << 20
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """What each code point is to the patterns above."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    points = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    chars = points.tobytes().decode("utf-32-le")
+    for kind, shape in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, f"[{WS}]+")):
+        for m in regex.finditer(shape, chars):
+            out[points[m.start() : m.end()]] = kind
+    return out
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of ``_WORD`` begin in UTF-8 bytes in lower case, and the bytes that are in one."""
+    kind = _kinds()[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        top, point = raw[lead].astype(np.int32), np.zeros(len(lead), np.int32)
+        size = 2 + (top >= 0xE0) + (top >= 0xF0)
+        for n, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+            of = np.flatnonzero(size == n)
+            x = top[of] & mask
+            for k in range(1, n):
+                x = x << 6 | (raw[lead[of] + k] & 0x3F)
+            point[of] = x
+        known = _kinds()[point]
+        for k in range(4):
+            of = size > k
+            kind[lead[of] + k] = known[of]
+    inside = kind != _SPACE
+    begins = inside.copy()
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    if len(lead):
+        begins &= (raw & 0xC0) != 0x80
+    at = np.flatnonzero(raw == 39)
+    at = at[begins[at]]
+    if len(at):
+        after = np.concatenate([raw, np.zeros(3, np.uint8)])
+        x, y = after[at + 1], after[at + 2]
+        one, two = np.isin(x, list(b"stmd")), (np.isin(x, list(b"rv")) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
+        begins[at[one | two] + 1] = False
+        rest = np.concatenate([at[one] + 2, at[two] + 3])
+        rest = rest[rest < len(raw)]
+        begins[rest[kind[rest] == _LETTER]] = True
+    return np.flatnonzero(begins), inside
 
 
 def _byte_chars() -> dict[str, int]:
@@ -50,8 +99,8 @@ class TrieBPE:
 
     Two layouts are known: the byte-level one in which white space belongs to the
     words, and the one with word-end symbols, lower-cased, without white space.
-    ``memo_words`` bounds the table of encoded words that a worker keeps; it
-    changes the speed alone.
+    ``memo_words`` bounds each table of encoded words that a worker keeps (one of
+    strings, one of bytes); it changes the speed alone.
     """
 
     def __init__(self, path: str, memo_words: int = 400_000):
@@ -88,6 +137,7 @@ class TrieBPE:
         self._whole: dict[int, bool] = {}
         self._begin_states()
         self.words: dict[str, bytes] = {s: array("H", [i]).tobytes() for s, i in self.special.items()}
+        self.raw_words: dict[bytes, bytes] = {}
         self.memo_words = memo_words
         shape = _WORD if self.end else _GPT
         self._latin = re.compile(shape.format(L=_LATIN_L, N=_LATIN_N, W=WS))
@@ -236,10 +286,14 @@ class TrieBPE:
             at = seam.start()
         yield text[at:] if at else text
 
+    @staticmethod
+    def normal(text: str) -> str:
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens (normalised, where the layout says so)."""
         if self.lower:
-            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+            text = self.normal(text)
         return (self._latin if text.isascii() or not self._beyond.search(text) else self._any).findall(text)
 
     def parts(self, text: str) -> list[str]:
@@ -274,6 +328,51 @@ class TrieBPE:
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), np.uint16) for p in cut]
 
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """What encode_batch gives, one text after the other, and where each ends.
+
+        In the layout without white space the pre-tokens are found and numbered by
+        arrays of the bytes, so that no object is made of one that is there again.
+        """
+        if not self.lower:
+            each = self.encode_batch(texts)
+            return np.concatenate([*each, np.empty(0, np.uint16)]), np.cumsum([len(x) for x in each], dtype=np.int64)
+        apart = {i: self.encode_batch([t])[0] for i, t in enumerate(texts) if t and (len(t) > PIECE or self._specials and "<|" in t)}
+        raws = [self.normal(t).encode("utf-8", "replace") if t and i not in apart else b"" for i, t in enumerate(texts)]
+        stops = np.cumsum([len(r) + 1 for r in raws])  # with the line end after each
+        joined = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+        begins, inside = _words(joined)
+        if len(begins):
+            at = np.append(np.cumsum(inside, dtype=np.int32)[begins] - 1, np.int32(np.count_nonzero(inside))).astype(np.int32)
+            numbered = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(joined[inside])]).dictionary_encode()
+            number = numbered.indices.to_numpy()
+            known = self.learn_raw(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+            size = np.fromiter(map(len, known), np.int64, len(known)) >> 1
+            table, start = np.frombuffer(b"".join(known), np.uint16), np.cumsum(size) - size
+            size = size[number]
+            ends = np.cumsum(size)
+            ids = table[np.repeat(start[number] - ends + size, size) + np.arange(ends[-1])]
+            ends = np.concatenate([[0], ends])[np.searchsorted(begins, stops)]
+        else:
+            ids, ends = np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
+        if apart:
+            each = [apart.get(i, x) for i, x in zip(range(len(texts)), np.split(ids, ends))]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        return ids, ends
+
+    def learn_raw(self, raws: list[bytes]) -> list[bytes]:
+        """The ids (16 bits each) of distinct pre-tokens given as UTF-8."""
+        words = self.raw_words
+        out = list(map(words.get, raws))
+        if missing := [i for i, ids in enumerate(out) if ids is None]:
+            missing.sort(key=raws.__getitem__)
+            new = [raws[i] for i in missing]
+            if len(words) + len(new) > self.memo_words:  # as in learn
+                self.raw_words = words = dict(islice(words.items(), self.memo_words // 2))
+            for i, word, ids in zip(missing, new, self.walk(new)):
+                out[i] = words[word] = ids
+        return out
+
     def counts(self, parts: list[str]) -> list[int]:
         """The number of tokens of each of the pre-tokens."""
         try:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load, tokenizer_path
-from .common import slices, table, trimmed
+from .common import byte_slices, table, trimmed
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -136,8 +136,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
             if pieces := list(pieces):
                 return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        for b in slices(batches):
-            for k, ids in zip(b.column(0).to_pylist(), bpe.encode_batch(b.column(1).to_pylist())):
+        for b in byte_slices(batches, 1, 2 << 20):
+            flat, ends = bpe.encode_flat(b.column(1).to_pylist())
+            for k, ids in zip(b.column(0).to_pylist(), np.split(flat, ends)):
                 packer.add(k, np.append(ids, np.uint16(end_id)), np.flatnonzero(marks[ids]) + 1)
                 if packer.waiting >= stretch and (out := rows(packer.flush(False))):
                     yield out

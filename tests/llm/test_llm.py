@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("skeinix.llm")
@@ -79,6 +80,42 @@ def test_trie_matches_library(name):
             assert own.decode(want) == lib.decode(want, skip_special_tokens=False) == (t or "")
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_flat_encoding_matches_library(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from skeinix.llm import bpe
+
+    path = tokenizer_path(name)
+    lib, own = Tokenizer.from_file(path), TrieBPE(path, memo_words=1000)
+    rng = random.Random(8)
+    chars = "ab1'strevmld'' \n\t.,\"é½²٣日本ΣİßK\u0301\u0338<|\x1c\x85\u3000😀𝟘𐐀"
+    texts = TEXTS + ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["'", "a'", "'s", "'S'tis 'll'LL we'veve ''s .'s '\n's 'é 'r 'l", "\u0301a", "e", "\u0301"]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for step in (1, 7, len(texts)):
+        for at in range(0, len(texts), step):
+            flat, ends = own.encode_flat(texts[at : at + step])
+            assert [x.tolist() for x in np.split(flat, ends)] == want[at : at + step] + [[]]
+            assert step > 7 or len(own.raw_words) <= 1000
+    assert [x.tolist() for x in own.encode_flat([])] == [[], []] and [x.tolist() for x in own.encode_flat([None, ""])] == [[], [0, 0]]
+    monkeypatch.setattr(bpe, "PIECE", 20)
+    flat, ends = own.encode_flat(texts)
+    assert [x.tolist() for x in np.split(flat, ends)] == [x.tolist() for x in own.encode_batch(texts)] + [[]]
+
+
+def test_kinds_are_those_of_the_patterns():
+    from skeinix.llm import bpe
+
+    own, kinds = TrieBPE(tokenizer_path("word_bpe_49k.json")), bpe._kinds()
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        for shape in (own._any, own._latin)[: 1 + (c < "\u0250")]:
+            assert bool(shape.match(c)) == (kinds[ord(c)] != bpe._SPACE)
+            if kinds[ord(c)] != bpe._SPACE:
+                assert (len(shape.match(c * 2)[0]) == 1) == (kinds[ord(c)] == bpe._DIGIT)
+                assert (len(shape.match(c + "a")[0]) == 2) == (kinds[ord(c)] == bpe._LETTER)
+
+
 def test_codec_round_trip_and_digests(spark):
     from tokenizers import Tokenizer
 
@@ -845,6 +882,32 @@ def test_stages_give_unused_heap_back(spark, sf, monkeypatch):
         assert at.pop() > before, name
 
 
+def test_packing_makes_no_object_of_a_word_that_is_there_again(spark, monkeypatch):
+    seen = []
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    class Table:
+        def select(self, *a):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            seen.append(fn)
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(TrieBPE, "cut", lambda self, text: pytest.fail("a list of the words of a text"))
+    packing.pack(Table())
+    texts = ["the same words, again and again. " * 50] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["doc_id", "text"])
+    out = pa.Table.from_batches(seen[0](iter([batch]))).to_pylist()
+    monkeypatch.undo()
+    ids = np.append(load(tokenizer_path("word_bpe_49k.json")).encode(texts[0]), 1)
+    assert sum(r["length"] for r in out) == 40 * len(ids)
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].astype("<u4").tobytes()) for r in out)
+
+
 def test_packing_gives_freed_memory_back(spark, monkeypatch):
     from skeinix.llm import common
 
