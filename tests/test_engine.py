@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,39 @@ def test_ann_recall_by_selectivity(spark, share):
     assert hit / n >= 0.95
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_ann_finds_nine_of_ten(spark, sf, metric):
+    """Every query whose id is divisible by 50, on vectors without clusters, where half of the lists don't do."""
+    from skeinix.plans import queries
+
+    v = queries._vectors(spark, sf).persist()
+    index = ann.Inverted.train(v, metric=metric)
+    table = index.assigned(v).persist()
+    assert table.count() == v.count()
+    some = F.col("label") >= 5
+    for r in v.where("id % 50 = 0").collect():
+        q = [float(x) for x in r.vector]
+        exact = {i for i, _ in rows(knn.knn(v, q, 50, metric))}
+        assert len(exact & {i for i, _ in rows(ann.ann(table, index, q, 50))}) >= 45
+    exact = {i for i, _ in rows(knn.knn(v.where(some), q, 50, metric))}
+    assert len(exact & {i for i, _ in rows(ann.ann(table, index, q, 50, allowed=some))}) >= 45
+    if metric == "cosine":
+        exact = {i for i, _ in rows(knn.knn(v, queries._query_vector(v), 50))}
+        assert len(exact & {r.id for r in queries.ann_ivf(spark, sf).collect()}) >= 45
+
+
+def test_ann_measures_where_it_can():
+    rng = np.random.default_rng(5)
+    spread = rng.standard_normal((900, 12))
+    groups = np.repeat(np.eye(12) * 50, 75, axis=0) + rng.standard_normal((900, 12))
+    few, many = (ann.Inverted(x[::30].copy(), "l2", x, len(x)) for x in (groups, spread))
+    assert few.lists(groups[0], 10) < 8 < many.lists(spread[0], 10) <= 30
+    assert many.lists(spread[0], 10) <= many.lists(spread[0], 10, 100)  # a filter: the nearest that pass lie farther off
+    for index, q in ((ann.Inverted(spread[:30], "l2"), spread[0]), (many, [1.0]), (ann.Inverted(spread[:30], "l2", spread[:1], 1), spread[0])):
+        assert index.lists(q, 10) == 30
+    assert many.lists(spread[0], 0) >= 1 and many.lists(spread[0], 10**6) == 30
+
+
 # -- filters ------------------------------------------------------------------
 def test_filters(spark):
     kinds = {"lang": "keyword", "year": "int", "score": "float", "active": "bool"}
