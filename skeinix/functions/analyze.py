@@ -14,7 +14,11 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +27,7 @@ from ..model import DICT_MAX, EngineError
 from .stem import stem
 
 CJK = "　-〿぀-ゟ゠-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0002a6df\U0002a700-\U0002b73f\U0002b740-\U0002b81f\U0002b820-\U0002ceaf"
+_SIMPLE = regex.compile(r"[\p{L}\p{N}]+")
 _RUNS = regex.compile(f"[{CJK}]+|[^{CJK}]+")
 _A = r"[\p{Alphabetic}--[\p{Han}\p{Hiragana}\p{Katakana}]]"
 _WORDS = regex.compile(rf"(?V1)[\p{{Han}}\p{{Hiragana}}]\p{{M}}*|[\p{{Katakana}}ー]+|(?:{_A}|\p{{Nd}}|\p{{M}}|_)(?:{_A}|\p{{Nd}}|\p{{M}}|_|(?<={_A}\p{{M}}*)['’.:·‧](?={_A})|(?<=\p{{Nd}})['’.,;](?=\p{{Nd}}))*")
@@ -37,13 +42,25 @@ def simple(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _one(text: str) -> str | None:
+    """The only word of a text that is Latin letters or ASCII letters and digits within punctuation; None for other texts."""
+    t = text.strip('.,;:!?()"')
+    return t if t.isascii() and t.isalnum() or t.isalpha() and max(t) < "\u0250" and "\u0130" not in t else None
+
+
+def simple_tokens(text: str | None) -> list[str]:
+    one = _one(text or "")
+    return _SIMPLE.findall((text or "").lower()) if one is None else [one.lower()]
+
+
 @lru_cache(maxsize=200_000)
 def _stem(word: str) -> str:
     return stem(word)
 
 
 def standard_tokens(text: str | None) -> list[str]:
-    return [_stem(w.lower()) for w in _WORDS.findall(text or "") if any(c.isalnum() for c in w)]
+    one = _one(text or "")
+    return [_stem(one.lower())] if one is not None else [_stem(w.lower()) for w in _WORDS.findall(text or "") if any(c.isalnum() for c in w)]
 
 
 def bigram_tokens(text: str | None) -> list[str]:
@@ -184,7 +201,7 @@ def analyzer(name: str = "standard", words: dict[str, int] | None = None, user:
             raise EngineError("DICT_UNAVAILABLE", "the dictionary analyzer needs a word list")
         name = "cjk_bigram"
     if name == "simple":
-        return Analyzer(name, lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()), simple)
+        return Analyzer(name, simple_tokens, simple)
     if name == "standard":
         return Analyzer(name, standard_tokens, _vectorised(standard_tokens))
     if name == "cjk_bigram":
@@ -196,6 +213,105 @@ def analyzer(name: str = "standard", words: dict[str, int] | None = None, user:
     raise EngineError("INVALID_ARG", f"unknown analyzer {name}")
 
 
+#: Pieces of texts, and tokens, that a task keeps, and the longest piece kept; they change the speed alone.
+PIECES, PIECE = 300_000, 64
+
+
+class Coded:
+    """Texts of a task as numbered tokens.
+
+    No analyzer has a token with white space, nor looks across it, so texts are cut at
+    ASCII white space and each distinct piece is analysed once while the table holds it.
+    number: of a token, which must stay the same between calls of ``full``; below 0 the
+    token counts but isn't returned.
+    """
+
+    def __init__(self, tokens: Callable[[str], list[str]], number: Callable[[str], int]):
+        self.tokens, self.number, self.known = tokens, number, {}
+
+    def _piece(self, piece: str) -> tuple[int, tuple[int, ...]]:
+        found = self.tokens(piece)
+        out = (len(found), tuple([n for n in map(self.number, found) if n >= 0]))
+        if len(piece) <= PIECE:
+            self.known[piece] = out
+        return out
+
+    @property
+    def full(self) -> bool:
+        return len(self.known) >= PIECES
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number) of the tokens in their order, and the count of tokens of each row; null texts have none."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        row = np.repeat(np.arange(len(cut)), pc.list_value_length(cut).to_numpy())
+        codes = pc.list_flatten(cut).dictionary_encode()
+        at, known = codes.indices.to_numpy().astype(np.int64), self.known
+        pieces = pc.binary_join(pa.ListArray.from_arrays([0, len(codes.dictionary)], codes.dictionary.cast(pa.string())), "\n")[0].as_py().split("\n") if len(codes.dictionary) else []
+        found = [known.get(p) or self._piece(p) for p in pieces]
+        size = np.fromiter((n for n, _ in found), np.int64, len(found))
+        own = np.fromiter((len(x) for _, x in found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(x for _, x in found), np.int64, own.sum())
+        n = np.bincount(row, size[at], len(cut)).astype(np.int64)
+        times, first = own[at], (np.cumsum(own) - own)[at]
+        return np.repeat(row, times), flat[np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())], n
+
+
+class Numbers(dict):
+    """Tokens numbered as they come; ``names`` in the order of the numbers."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        return n
+
+    def names(self) -> pa.Array:
+        return pa.array(list(self), pa.string())
+
+
+def lengths(tokens: Callable[[str | None], list[str]]) -> Callable[[Column], Column]:
+    """Column of texts to the number of their tokens; 0 for null."""
+
+    def run(s):
+        import pandas as pd
+
+        coded = Coded(tokens, lambda t: -1)
+        return pd.Series(coded(pa.array([x if isinstance(x, str) else None for x in s], pa.string()))[2])
+
+    run.__annotations__ = {}
+    return F.pandas_udf(run, "long", functionType=F.PandasUDFType.SCALAR)
+
+
+def term_counts(texts, tokens: Callable[[str | None], list[str]]):
+    """(term, df, cf) of a DataFrame's only column: documents with the term, and its occurrences; counted in the tasks before the one shuffle."""
+    if len(texts.columns) != 1:
+        raise EngineError("INVALID_ARG", "one column of texts")
+
+    def run(batches):
+        numbers = Numbers()
+        coded, sums = Coded(tokens, numbers.__getitem__), np.zeros((2, 0), np.int64)
+
+        def done():
+            own = np.flatnonzero(sums[0])
+            if len(own):
+                yield pa.RecordBatch.from_arrays([numbers.names().take(pa.array(own)), pa.array(sums[0][own]), pa.array(sums[1][own])], names=["term", "df", "cf"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                row, term, _ = coded(b.column(0).slice(at, 1024))
+                both, tf = np.unique(row * max(1, len(numbers)) + term, return_counts=True)
+                term = both % max(1, len(numbers))
+                sums = np.pad(sums, ((0, 0), (0, len(numbers) - sums.shape[1])))
+                sums[0] += np.bincount(term, minlength=len(numbers))
+                sums[1] += np.bincount(term, tf, len(numbers)).astype(np.int64)
+                if coded.full or len(numbers) >= PIECES:
+                    yield from done()
+                    numbers.clear()
+                    coded.known.clear()
+                    sums = np.zeros((2, 0), np.int64)
+        yield from done()
+
+    return texts.mapInArrow(run, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def positions(tokens: Column) -> Column:
     """array<struct<text, position>> of tokens, positions from 0."""
     return F.transform(tokens, lambda t, i: F.struct(t.alias("text"), i.alias("position")))

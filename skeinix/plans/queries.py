@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from ..functions.analyze import analyzer, cjk_bigrams, prune_dictionary, simple
+from ..functions.analyze import analyzer, cjk_bigrams, prune_dictionary, simple, term_counts
 from ..functions.chunk import ChunkConfig, chunks
 from ..functions.glob import Policy, TypeRule, classify
 from ..model import Schema
@@ -218,8 +218,7 @@ def cjk_bigram_tokens(spark, sf):
 @query()
 def standard_terms(spark, sf):
     """Frequencies of stemmed terms; tests hold the analyzer against its published rules."""
-    tok = bm25.tokenised(T(spark, sf, "documents"), analyzer("standard").column(F.coalesce(F.col("text"), F.lit(""))), key="doc_id")
-    return bm25.postings(tok).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return term_counts(T(spark, sf, "documents").select("text"), analyzer("standard").tokens)
 
 
 @query(f"""with w as (select unnest({_TOK}) as word from documents), f as (select word, count(*) as freq from w group by word)
