@@ -350,7 +350,7 @@ h as (select doc_id, sha256(t) as h, x from e),
 b as (select doc_id, (('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint % 384)::int as d, sum(x) as x from h group by all)
 select doc_id as id, d, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) as x from b""")
 def hash_embeddings(spark, sf):
-    return hash_embedding(T(spark, sf, "documents"), "doc_id").select("id", F.col("d").cast("int").alias("d"), F.round("x", 6).alias("x"))
+    return hash_embedding(T(spark, sf, "documents"), "doc_id", digits=6).select("id", F.col("d").cast("int").alias("d"), "x")
 
 
 # -- store --------------------------------------------------------------------

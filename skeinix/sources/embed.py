@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.analyze import PIECES, Coded, Numbers
 from ..model import EngineError
 
 BATCH = 64
-#: Tokens whose places a task keeps; it changes the speed alone.
-PLACES = 200_000
+#: Texts whose vectors a task adds up at a time.
+ROWS = 1024
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -72,32 +73,47 @@ def embedded(df: DataFrame, embedder: Embedder, text: str = "text", to: str = "v
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.FloatType()))]))
 
 
-def hash_embedding(df: DataFrame, key: str = "id", text: str = "text", dim: int = 384) -> DataFrame:
-    """(id, d, x): the hashing embedder, sparse: the places that aren't zero; nothing is shuffled. Null or wordless texts give no rows."""
-    words = df.select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+def _words(text: str) -> list[str]:
+    return [text.lower()] if text.isascii() and text.isalnum() else re.findall("[a-z0-9]+", text.lower())
+
+
+def _places(terms: list[str], dim: int) -> np.ndarray:
+    sha = hashlib.sha256
+    return np.frombuffer(b"".join([sha(t.encode()).digest() for t in terms]), "<u4")[::8].astype(np.int64) % dim
 
-    def run(batches):
-        places: dict[str, int] = {}
 
-        def place(t: str) -> int:
-            d = int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "little") % dim
-            if len(places) < PLACES:
-                places[t] = d
-            return d
+def hash_embedding(df: DataFrame, key: str = "id", text: str = "text", dim: int = 384, digits: int | None = None) -> DataFrame:
+    """(id, d, x): the hashing embedder, sparse: the places that aren't zero; nothing is shuffled. Null or wordless texts give no rows.
 
+    digits: to which x is rounded, halves up.
+    """
+    own = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+
+    def run(batches):
+        numbers = Numbers()
+        coded, place = Coded(_words, numbers.__getitem__), np.zeros(0, np.int64)
         for b in batches:
-            ids, ds, xs = [], [], []
-            for i, w in enumerate(b.column(1).to_pylist()):
-                if not w:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                if coded.full or len(numbers) >= PIECES:
+                    numbers.clear()
+                    coded.known.clear()
+                    place = np.zeros(0, np.int64)
+                row, word, _ = coded(part.column(1))
+                if not len(word):
                     continue
-                pairs = list(map(" ".join, zip(w, w[1:])))
-                at = np.array([places[t] if t in places else place(t) for t in (*w, *pairs)], np.int64)
-                v = np.bincount(at, np.repeat([1.0, 0.5], [len(w), len(pairs)]), dim)
-                d = np.flatnonzero(v)
-                ids.append(np.full(len(d), i))
-                ds.append(d)
-                xs.append(v[d] / np.sqrt(v @ v))
-            if ids:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(ds)), pa.array(np.concatenate(xs))], names=["id", "d", "x"])
-
-    return words.mapInArrow(run, T.StructType([T.StructField("id", words.schema["id"].dataType), T.StructField("d", T.LongType()), T.StructField("x", T.DoubleType())]))
+                names = list(numbers)
+                place = np.concatenate([place, _places(names[len(place) :], dim)])
+                two = np.flatnonzero(row[1:] == row[:-1])
+                pair, of = np.unique(word[two] * len(names) + word[two + 1], return_inverse=True)
+                left, right = np.divmod(pair, len(names))
+                far = _places([f"{names[i]} {names[j]}" for i, j in zip(left.tolist(), right.tolist())], dim)
+                v = np.bincount(row * dim + place[word], minlength=part.num_rows * dim) + 0.5 * np.bincount(row[two] * dim + far[of], minlength=part.num_rows * dim)
+                cell = np.flatnonzero(v)
+                i, d = np.divmod(cell, dim)
+                x = v[cell] / np.sqrt(np.bincount(i, v[cell] ** 2, part.num_rows))[i]
+                if digits is not None:
+                    x = np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(d), pa.array(x)], names=["id", "d", "x"])
+
+    return own.mapInArrow(run, T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("d", T.LongType()), T.StructField("x", T.DoubleType())]))
