@@ -159,6 +159,10 @@ def _tok(spark, sf) -> DataFrame:
 
 
 def _bm25_sql(k: int, where: str = "true", name: str = "bm") -> str:
+def _texts(spark, sf) -> DataFrame:
+    return T(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text")
+
+
     return f"""{name} as (select doc_id as id, round(sum({_W}), 9) as score from post join (select term, count(*) as df from post where term in ({_IN}) group by term) using (term) cross join st
   where doc_id in (select doc_id from tok where {where}) group by doc_id order by score desc, id limit {k})"""
 
@@ -201,7 +205,7 @@ ranked as (select *, row_number() over (partition by qid order by score desc, id
 def _bm25_batch(spark, sf, k):
     tok = _tok(spark, sf)
     q = T(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), simple(F.col("text")).alias("tokens"))
-    return bm25.bm25_batch(bm25.postings(tok), bm25.stats(tok), q, k, digits=9)
+    return bm25.bm25_batch_texts(_texts(spark, sf), q, k, digits=9)
 
 
 @query(f"with {_BATCH_BM} select qid, rank, id, round(score, 6) as score from ranked where rank <= 10")
