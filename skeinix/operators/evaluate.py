@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bm25
+
 
 def recall(found: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     """(qid, recall): the share of the true ids (at most k of them) that were found; 1 where there are none. Both: (qid, id)."""
@@ -55,5 +57,12 @@ def grades(queries: DataFrame, tok: DataFrame, titles: DataFrame | None = None,
     if titles is not None:
         named = queries.join(titles, F.col("text") == F.col("title")).select("qid", F.col("docid").alias("id"), F.lit(3).alias("rel"), F.lit(0).cast("long").alias("tf"))
         rel = rel.unionByName(named).groupBy("qid", "id").agg(F.max("rel").alias("rel"), F.max("tf").alias("tf"))
+
+
+def grades_of_texts(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """``grades`` of all documents (docid, text) by the ``simple`` analyzer: k rows a query and task are shuffled. Where documents share an id their counts are added across tasks first."""
+    if not bm25.unique_ids(docs):
+        return grades(queries, bm25.tokenised(docs, key="docid"), k=k)
+    return bm25.most_frequent(docs, queries, k).select("qid", "id", F.when(F.col("score") >= 2, 2).otherwise(1).alias("rel"))
     w = Window.partitionBy("qid").orderBy(F.desc("rel"), F.desc("tf"), "id")
     return rel.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).select("qid", "id", "rel")

@@ -326,7 +326,7 @@ r as (select qid, doc_id as id, max(tf) as tf from q join post using (term) grou
 select qid, id, rel from (select *, row_number() over (partition by qid order by rel desc, tf desc, id) as n from g) where n <= 10""")
 def graded_labels(spark, sf):
     q = T(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text", simple(F.col("text")).alias("tokens"))
-    return evaluate.grades(q, _tok(spark, sf))
+    return evaluate.grades_of_texts(q, _texts(spark, sf))
 
 
 @query(f"""with c as (select q.vec_id as qid, e.vec_id as id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) desc, e.vec_id) as rc,
