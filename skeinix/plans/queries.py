@@ -17,6 +17,7 @@ from ..functions.chunk import ChunkConfig, chunks
 from ..functions.glob import Policy, TypeRule, classify
 from ..model import Schema
 from ..operators import ann, bm25, evaluate, fusion, ingest, knn
+from ..operators.contain import holding
 from ..sources.embed import hash_embedding
 from ..streaming.streams import debounced
 
@@ -158,11 +159,11 @@ def _tok(spark, sf) -> DataFrame:
     return bm25.tokenised(T(spark, sf, "documents"), key="doc_id")
 
 
-def _bm25_sql(k: int, where: str = "true", name: str = "bm") -> str:
 def _texts(spark, sf) -> DataFrame:
     return T(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text")
 
 
+def _bm25_sql(k: int, where: str = "true", name: str = "bm") -> str:
     return f"""{name} as (select doc_id as id, round(sum({_W}), 9) as score from post join (select term, count(*) as df from post where term in ({_IN}) group by term) using (term) cross join st
   where doc_id in (select doc_id from tok where {where}) group by doc_id order by score desc, id limit {k})"""
 
@@ -203,7 +204,6 @@ ranked as (select *, row_number() over (partition by qid order by score desc, id
 
 
 def _bm25_batch(spark, sf, k):
-    tok = _tok(spark, sf)
     q = T(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), simple(F.col("text")).alias("tokens"))
     return bm25.bm25_batch_texts(_texts(spark, sf), q, k, digits=9)
 
@@ -300,16 +300,9 @@ def recall_at_10(spark, sf):
 
 
 def _holds(spark, sf):
-    """(qid, id): the documents that hold a benchmark text, the texts being a stated query set whose size is checked by Spark before it is broadcast."""
+    """(qid, id): the documents that hold a benchmark text."""
     b, d = T(spark, sf, "benchmark"), T(spark, sf, "documents")
-    # candidates share the first words of the text, so no pairs of all rows are formed
-    key = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 4), " ")
-    words = F.split("text", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))
-    q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("q"), key(F.col("text")).alias("k"))
-    each = d.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(grams)).alias("k"))
-    pairs = each.join(q.select("qid", "k"), "k").select("qid", "id").distinct()
-    return pairs.join(q.select("qid", "q"), "qid").join(d.select(F.col("doc_id").alias("id"), "text"), "id").where(F.contains(F.col("text"), F.col("q"))).select("qid", "id")
+    return holding(d.select(F.col("doc_id").alias("id"), "text"), b.select(F.col("item_id").alias("qid"), F.col("text").alias("q")))
 
 
 @query(f"""with {_BATCH_BM}, rel as (select distinct item_id as qid, doc_id as id, 1 as rel from benchmark b join documents d on strpos(d.text, b.text) > 0),
@@ -317,7 +310,7 @@ g as (select qid, sum(rel / log2(rank + 1)) as dcg from ranked join rel using (q
 i as (select qid, sum(rel / log2(n + 1)) as ideal from (select *, row_number() over (partition by qid order by rel desc, id) as n from rel) where n <= 10 group by qid)
 select distinct item_id as qid, round(coalesce(dcg / ideal, 0), 6) as ndcg from benchmark left join g on item_id = g.qid left join i on item_id = i.qid where item_id in (select qid from ranked union select qid from rel)""")
 def ndcg_at_10(spark, sf):
-    rel = _holds(spark, sf).distinct().withColumn("rel", F.lit(1))
+    rel = _holds(spark, sf).withColumn("rel", F.lit(1))
     return evaluate.ndcg(_bm25_batch(spark, sf, 10), rel).withColumn("ndcg", F.round("ndcg", 6))
 
 

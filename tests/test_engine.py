@@ -333,3 +333,78 @@ def test_sparse_hash_embeddings_are_the_embedder(spark):
         got.setdefault(r.id, {})[r.d] = r.x
     for i, v in enumerate(hashing(16)([t or "" for t in texts])):
         assert {d: round(x, 5) for d, x in got.get(i, {}).items()} == {d: round(float(x), 5) for d, x in enumerate(v) if x}
+
+
+# -- tables of queries over texts ---------------------------------------------
+def test_texts_that_hold_queries(spark):
+    """Short, empty, overlapping and non-ASCII queries, at word borders and within words, against brute force."""
+    import pyarrow as pa
+
+    from skeinix.operators import contain
+
+    rng = random.Random(3)
+    docs = [None, "", "a", "zażółć gęślą", "one two three four five six", "x" * 200, "aé" * 90] + ["".join(rng.choices("ab é\n", k=rng.randrange(300))) for _ in range(60)]
+    qs = [None, "", "a", "é", "two thr", "wo three four fiv", "three four five six seven", "x" * 64, "x" * 65, "x" * 201, "éa" * 40, "a", "żół"] + ["".join(rng.choices("ab é\n", k=n)) for n in range(1, 9)] + [docs[20][5:140], docs[30][1:70]]
+    want = sorted((q, d) for q, t in enumerate(qs) for d, x in enumerate(docs) if t is not None and x is not None and t in x)
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, text string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(qs)), "qid long, q string")
+    assert sorted(tuple(r) for r in contain.holding(d, q).collect()) == want
+    old, contain.SENT, contain.STEP = (contain.SENT, contain.STEP), 40, 100
+    try:
+        assert sorted(tuple(r) for r in contain.holding(d, q).collect()) == want
+        find = contain.Finder([b"aba", b"b" * 30])
+        assert find(pa.array(["z", "ab" * 60 + "b" * 29, "b" * 130, None]).slice(1)) == [(0, 0), (0, 1), (1, 1)]
+    finally:
+        contain.SENT, contain.STEP = old
+
+
+def test_batches_over_texts_are_those_over_postings(spark):
+    """Ties, short lists, repeated query rows, blocks of queries, shared ids, null and odd texts."""
+    from skeinix.functions.analyze import simple
+
+    rng = random.Random(4)
+    words = ["a", "b", "Fox", "fox.", "(été)", "İx", "x-y", "don't", "12", "²", "ß", "ΑΣ"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(12)))) for i in range(300)] + [(900, None), (901, ""), (902, " \n"), (903, "a" * 70)]
+    docs = spark.createDataFrame(rows, "docid long, text string").repartition(5)
+    qs = [(1, "a fox"), (2, "été 12 y"), (3, None), (4, "none"), (5, "b"), (5, "a ix ας"), (6, "a" * 70)]
+    q = spark.createDataFrame(qs, "qid long, text string").select("qid", "text", simple(F.col("text")).alias("tokens"))
+    once = spark.createDataFrame([(i, " ".join(t or "" for j, t in qs if i == j)) for i in range(1, 7)], "qid long, text string").select("qid", "text", simple(F.col("text")).alias("tokens"))
+    old = bm25.PAIRS, bm25.CELLS
+    for d in (docs, docs.unionByName(docs.limit(9))):
+        tok = bm25.tokenised(d, key="docid")
+        want = sorted(tuple(r) for r in bm25.bm25_batch(bm25.postings(tok), bm25.stats(tok), once, 7, 9).collect())
+        grade = sorted(tuple(r) for r in evaluate.grades(once, tok, k=7).collect())
+        for bm25.PAIRS, bm25.CELLS in (old, (2, 8)):
+            try:
+                assert sorted(tuple(r) for r in bm25.bm25_batch_texts(d, q if d is docs else once, 7, 9).collect()) == want
+                assert sorted(tuple(r) for r in evaluate.grades_of_texts(q if d is docs else once, d, 7).collect()) == grade
+            finally:
+                bm25.PAIRS, bm25.CELLS = old
+    assert bm25.bm25_batch_texts(docs.limit(0), q, 5).count() == 0 == bm25.bm25_batch_texts(docs, q.limit(0), 5).count()
+
+
+def test_term_counts_in_tasks(spark):
+    """Counted by pieces, also where the tables of a task are emptied, as text by text."""
+    from collections import Counter
+
+    from skeinix.functions import analyze as A
+
+    rng = random.Random(6)
+    pieces = ["running", "Runs,", "(runs)", "don't", "3.5", "e.g.", "été", "İx", "²", "x²", "机器学习", "_a_", "a'", "ΑΣ", "foxes run", "　中", "--", "U.S.A.", "a1", "é1"]
+    texts = [None, "", " \n "] + ["".join(rng.choice(pieces) + rng.choice(" \n\t ") for _ in range(rng.randrange(30))) for _ in range(80)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    old = A.PIECES
+    for name in ("standard", "simple", "cjk_bigram"):
+        a = A.analyzer(name)
+        if name == "simple":
+            each = [r.t for r in d.select(a.column(F.col("text")).alias("t")).collect()]
+        else:
+            each = [a.tokens(t) for t in texts]
+        want = {t: (sum(t in x for x in each), sum(x.count(t) for x in each)) for t in {y for x in each for y in x}}
+        for A.PIECES in (old, 3):
+            try:
+                assert {r.term: (r.df, r.cf) for r in A.term_counts(d, a.tokens).collect()} == want
+            finally:
+                A.PIECES = old
+        assert sorted(r.n for r in d.select(A.lengths(a.tokens)(F.col("text")).alias("n")).collect()) == sorted(map(len, each))
+    assert Counter(A.standard_tokens("Foxes, foxes.")) == {"fox": 2}
