@@ -10,20 +10,18 @@ from . import bm25
 
 def recall(found: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     """(qid, recall): the share of the true ids (at most k of them) that were found; 1 where there are none. Both: (qid, id)."""
-    t = truth.groupBy("qid").agg(F.collect_set("id").alias("t"))  # a query's top k
-    f = found.groupBy("qid").agg(F.collect_set("id").alias("f"))
-    hit = F.size(F.array_intersect("t", F.coalesce("f", F.array().cast("array<long>"))))
-    return t.join(f, "qid", "left").select("qid", F.when(F.size("t") == 0, 1.0).otherwise(hit / F.least(F.lit(k), F.size("t"))).alias("recall"))
+    f = found.where("id is not null").select("qid", "id").distinct().withColumn("hit", F.lit(1))
+    t = truth.select("qid", "id").distinct().join(f, ["qid", "id"], "left").groupBy("qid").agg(F.count("id").alias("n"), F.count("hit").alias("hits"))
+    return t.select("qid", F.when(F.col("n") == 0, 1.0).otherwise(F.col("hits") / F.least(F.lit(k), F.col("n"))).alias("recall"))
 
 
 def ndcg(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(qid, ndcg): gain rel / log2(rank + 1), rank from 1, over the ideal order's; 0 where nothing is relevant. ranked: (qid, rank, id); qrels: (qid, id, rel)."""
     gain = lambda rank: F.col("rel") / F.log2(rank + 1)
-    got = ranked.where(F.col("rank") <= k).join(qrels, ["qid", "id"]).groupBy("qid").agg(F.sum(gain(F.col("rank"))).alias("dcg"))
-    w = Window.partitionBy("qid").orderBy(F.desc("rel"), "id")
-    ideal = qrels.where("rel > 0").withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).groupBy("qid").agg(F.sum(gain(F.col("at"))).alias("ideal"))
-    qs = ranked.select("qid").unionByName(qrels.select("qid")).distinct()
-    return qs.join(got, "qid", "left").join(ideal, "qid", "left").select("qid", F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)).alias("ndcg"))
+    w = Window.partitionBy("qid").orderBy(F.desc_nulls_last("rel"), "id")
+    both = ranked.select("qid", "id", "rank").join(qrels.select("qid", "id", "rel"), ["qid", "id"], "full_outer").withColumn("at", F.row_number().over(w))  # each side is computed once
+    sums = both.groupBy("qid").agg(F.sum(F.when(F.col("rank") <= k, gain(F.col("rank")))).alias("dcg"), F.sum(F.when((F.col("rel") > 0) & (F.col("at") <= k), gain(F.col("at")))).alias("ideal"))
+    return sums.select("qid", F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)).alias("ndcg"))
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,6 +55,8 @@ def grades(queries: DataFrame, tok: DataFrame, titles: DataFrame | None = None,
     if titles is not None:
         named = queries.join(titles, F.col("text") == F.col("title")).select("qid", F.col("docid").alias("id"), F.lit(3).alias("rel"), F.lit(0).cast("long").alias("tf"))
         rel = rel.unionByName(named).groupBy("qid", "id").agg(F.max("rel").alias("rel"), F.max("tf").alias("tf"))
+    w = Window.partitionBy("qid").orderBy(F.desc("rel"), F.desc("tf"), "id")
+    return rel.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).select("qid", "id", "rel")
 
 
 def grades_of_texts(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
@@ -64,5 +64,3 @@ def grades_of_texts(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFra
     if not bm25.unique_ids(docs):
         return grades(queries, bm25.tokenised(docs, key="docid"), k=k)
     return bm25.most_frequent(docs, queries, k).select("qid", "id", F.when(F.col("score") >= 2, 2).otherwise(1).alias("rel"))
-    w = Window.partitionBy("qid").orderBy(F.desc("rel"), F.desc("tf"), "id")
-    return rel.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).select("qid", "id", "rel")
