@@ -5,7 +5,7 @@ n, and the newest is the database.  A flush, delete, compaction or re-index writ
 new files and then one new manifest, so readers see all of a change or nothing.
 Files that no manifest names are left-overs of a crash and go at ``recover``.
 
-A collection has segments (documents, and postings sorted by term) and tombstones
+A collection has segments (documents, and postings in runs sorted by term) and tombstones
 (docids).  Adding a document whose id exists replaces it.
 """
 
@@ -20,7 +20,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analyze import Analyzer, analyzer
+from ..functions.analyze import Analyzer, analyzer, lengths
 from ..model import COMMIT_DOCS, COMMIT_MS, SEGMENT_MAX, EngineError, Schema, SearchQuery
 from ..operators import bm25, search
 from .fs import Files
@@ -28,6 +28,8 @@ from .fs import Files
 VERSION = 1
 #: Seconds after which files that no manifest names count as left over by a session that ended.
 LEASE_S = 24 * 3600.0
+#: Docids that are renumbered by one row, and so many of such rows (8 KB each) at most go to every task.
+BUCKET, SENT_BUCKETS = 4096, 2048
 
 
 class Database:
@@ -181,31 +183,55 @@ class Collection:
                 self.flush()
         return rows
 
-    def _numbered(self, rows: DataFrame, base: int) -> tuple[DataFrame, int, str]:
-        """Rows with dense docids from base, written as a segment: one pass to write, then counts of the written parts."""
+    def _numbered(self, rows: DataFrame, base: int, newest: bool = False) -> tuple[DataFrame, int, str]:
+        """Rows with dense docids from base, written as a segment: one pass to write, then counts of the written parts; rows aren't shuffled.
+
+        newest: of rows with one id that with the largest __seq stays, the last of those.
+        """
         tmp = f"s-{uuid.uuid4().hex}"
         part, at = F.spark_partition_id(), F.monotonically_increasing_id()
         rows.withColumn("__p", part).withColumn("__n", at.bitwiseAND((1 << 33) - 1)).write.parquet(self._path(tmp))
         raw = self.spark.read.parquet(self._path(tmp))
+        if newest:
+            last = Window.partitionBy("id").orderBy(F.desc("__seq"), F.desc("__p"), F.desc("__n"))
+            old = raw.select("id", "__seq", "__p", "__n").withColumn("__k", F.row_number().over(last)).where("__k > 1").select("__p", "__n")
+            if not old.isEmpty():
+                out = self._numbered(raw.join(old, ["__p", "__n"], "left_anti").drop("__p", "__n"), base)
+                self.db.files.delete(self._path(tmp))
+                return out
         counts = raw.groupBy("__p").agg(F.count("*").alias("c")).collect()  # a row a partition
         offset, begin = base, {}
         for r in sorted(counts, key=lambda r: r["__p"]):
             begin[r["__p"]] = offset
             offset += r["c"]
         table = self.spark.createDataFrame([(p, o) for p, o in begin.items()] or [(0, base)], "__p int, __o long")
-        rank = F.row_number().over(Window.partitionBy("__p").orderBy("__n")) - 1
         name = f"s-{uuid.uuid4().hex}"
-        out = raw.withColumn("__r", rank).join(F.broadcast(table), "__p").withColumn("docid", (F.col("__o") + F.col("__r")).cast("long")).drop("__p", "__n", "__r", "__o")
-        tok = self.analyzer.column(F.coalesce(F.col("text"), F.lit("")))
-        out.withColumn("dl", F.size(tok).cast("long")).write.parquet(self._path(name))
+        out = raw.join(F.broadcast(table), "__p").withColumn("docid", (F.col("__o") + F.col("__n")).cast("long")).withColumn("dl", lengths(self.analyzer.tokens)(F.col("text")))
+        out.select(*[f.name for f in self.schema.struct().fields], "docid", "dl").write.parquet(self._path(name))
         self.db.files.delete(self._path(tmp))
         return self.spark.read.parquet(self._path(name)), offset - base, name
 
+    def _renumbered(self, live: DataFrame, base: int) -> tuple[DataFrame, int, str]:
+        """Live documents with dense docids from base in the order of their docids, written as a segment; they keep their lengths.
+
+        A row for each BUCKET of old docids has those that live and the number before them; the
+        texts are joined to it where they are if the table is small.
+        """
+        place, at = F.floor(F.col("docid") / BUCKET).alias("__b"), (F.col("docid") % BUCKET).cast("short")
+        own = live.select(place, at.alias("__at")).groupBy("__b").agg(F.sort_array(F.collect_list("__at")).alias("__own"))
+        own = own.withColumn("__o", F.coalesce(F.sum(F.size("__own")).over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        if self.entry["next"] <= BUCKET * SENT_BUCKETS:
+            own = F.broadcast(own)
+        name = f"s-{uuid.uuid4().hex}"
+        out = live.withColumn("__b", place).join(own, "__b").withColumn("docid", (F.lit(base) + F.col("__o") + F.array_position("__own", at) - 1).cast("long"))
+        out.select(*[f.name for f in self.schema.struct().fields], "docid", "dl").write.parquet(self._path(name))
+        docs = self.spark.read.parquet(self._path(name))
+        return docs, docs.count(), name
+
     def _postings(self, docs: DataFrame) -> str:
+        """A file for each task's documents, in runs sorted by term, so most pages of each are skipped for a term; nothing is shuffled."""
         name = f"p-{uuid.uuid4().hex}"
-        tok = self.analyzer.column(F.coalesce(F.col("text"), F.lit("")))
-        post = bm25.postings(bm25.tokenised(docs, tok, key="docid"))
-        post.repartitionByRange("term", "docid").sortWithinPartitions("term", "docid").write.parquet(self._path(name))
+        bm25.postings_of_texts(docs.select("docid", "text"), self.analyzer.tokens).write.parquet(self._path(name))
         return name
 
     def flush(self) -> int:
@@ -217,9 +243,7 @@ class Collection:
         for i, b in enumerate(self.buffer):
             b = b.withColumn("__seq", F.lit(i))
             rows = b if rows is None else rows.unionByName(b)
-        last = Window.partitionBy("id").orderBy(F.desc("__seq"), F.desc("__at"))
-        rows = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__k", F.row_number().over(last)).where("__k = 1").drop("__k", "__seq", "__at")
-        docs, n, name = self._numbered(rows, e["next"])
+        docs, n, name = self._numbered(rows, e["next"], newest=True)
         dead = []
         if e["segments"]:
             old = self.live().select("docid", "id").join(docs.select("id"), "id", "left_semi").select("docid")
@@ -256,14 +280,14 @@ class Collection:
         e = self.entry
         if not e["segments"] or len(e["segments"]) == 1 and not e["tombstones"]:
             return
-        docs, n, name = self._numbered(self.live().drop("docid", "dl", "seg"), 0)
+        docs, n, name = self._renumbered(self.live(), 0)
         self.db.commit(self.name, e | {"segments": [{"name": name, "postings": self._postings(docs), "base": 0, "count": n}], "tombstones": [], "next": n})
 
     def merge(self, chosen: DataFrame) -> None:
         """Merge the chosen segments (name) into one; the others stay as they are."""
         names = [r["name"] for r in chosen.select("name").collect()]  # at most SEGMENT_MAX + 1
         e = self.entry
-        docs, n, name = self._numbered(self.live().where(F.col("seg").isin(names)).drop("docid", "dl", "seg"), e["next"])
+        docs, n, name = self._renumbered(self.live().where(F.col("seg").isin(names)), e["next"])
         segs = [s for s in e["segments"] if s["name"] not in names] + [{"name": name, "postings": self._postings(docs), "base": e["next"], "count": n}]
         self.db.commit(self.name, e | {"segments": segs, "next": e["next"] + n})
 
@@ -290,7 +314,7 @@ class Collection:
             for s in e["segments"]:
                 docs = self.spark.read.parquet(self._path(s["name"]))
                 name = f"s-{uuid.uuid4().hex}"
-                docs.withColumn("dl", F.size(self.analyzer.column(F.coalesce(F.col("text"), F.lit("")))).cast("long")).write.parquet(self._path(name))
+                docs.withColumn("dl", lengths(self.analyzer.tokens)(F.col("text"))).write.parquet(self._path(name))
                 segs.append(s | {"name": name, "postings": self._postings(docs)})
         except Exception:
             self.analyzer = before

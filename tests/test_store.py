@@ -159,3 +159,38 @@ def test_streams(spark, db, tmp_path):
     assert got == [("u", 1, 0.0, 2.0, 6), ("u", 2, 2.4, 2.4, 1), ("u", 3, 5.0, 5.0, 1), ("v", 1, 1.0, 1.0, 1)]
     s = spark.readStream.format("rate").load().select(F.col("value").cast("string").alias("key"), F.col("timestamp").alias("ts"), F.lit(True).alias("ok"))
     assert streams.retries(s).schema.names == ["key", "due", "attempt"] and streams.debounced_stream(s, "key").isStreaming and streams.watch_files(spark, str(src)).isStreaming
+
+
+def test_flush_and_compaction_shuffle_no_texts(spark, db, tmp_path):
+    """Rows with one id in a buffer (the last added stays), docids dense, lengths and postings as counted anew; texts are in no exchange."""
+    from skeinix.operators import bm25
+
+    c = db.collection("n", Schema(1), analyzer("simple"))
+    rows = [(f"d{i % 40}", f"fox w{i} w{i % 7} (fox)") for i in range(50)]
+    c.add(spark.createDataFrame(rows, "id string, text string").repartition(3))
+    c.add(spark.createDataFrame([("d1", "new hen"), ("x", None)], "id string, text string"))
+    assert c.flush() == 41
+    assert {r.id: r.text for r in c.live().collect()}["d1"] == "new hen" and sorted(r.docid for r in c.live().collect()) == list(range(41))
+    c.delete(["d2", "x"])
+    c.compact()
+    live = c.live()
+    assert sorted(r.docid for r in live.collect()) == list(range(39))
+    tok = bm25.tokenised(live, key="docid")
+    assert sorted(tuple(r) for r in c.postings().select("term", "docid", "tf", "dl").collect()) == sorted(tuple(r) for r in bm25.postings(tok).collect())
+    assert {r.docid: r.dl for r in live.collect()} == {r.docid: len(r.tokens) for r in tok.collect()}
+    rows = spark.createDataFrame([("a", "fox")], "id string, text string").withColumn("vector", F.array(F.lit(0.0).cast("float")))
+    plans = []
+    write, DataFrameWriter = None, type(rows.write)
+    write = DataFrameWriter.parquet
+
+    def seen(self, path, *a, **k):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *a, **k)
+
+    DataFrameWriter.parquet = seen
+    try:
+        c.add(rows)
+        c.flush()
+    finally:
+        DataFrameWriter.parquet = write
+    assert plans and not any("Exchange hash" in p or "Exchange range" in p for p in plans[:3])
